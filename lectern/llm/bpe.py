@@ -12,6 +12,9 @@ again as one, and the next join is looked at, until all joins of the text are so
 The shared table holds the ``SHARED`` chunks that save most bytes, so its broadcast has a fixed bound; counts cover
 every chunk of every text, and only hashes and numbers are shuffled.  It changes the work, never the ids.
 
+A chunk is encoded by the merges of the vocabulary in a faster encoder where it holds only characters up to U+017F and no
+special token (white space and letters are the same for every Unicode version there), else by the tokenizers library.
+
 Decoding joins the bytes of the ids.  Defined cases: null text is an empty text with no ids; null doc_id and repeated
 rows pass through; texts that hold a special token's string get its id, as the tokenizers library does; an empty table
 gives an empty result; other columns are ignored.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import portions, table
 
 WINDOW, MASK = 8, np.uint32(63)
 SHARED = 16_384
@@ -38,6 +42,9 @@ SHARED_BYTES = 16 << 20
 MEMORY_BYTES = 48 << 20
 _SPACES = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([i])).digest()[:4] for i in range(256)), np.uint32)
+#: Fixed value: the piece pattern of byte-level BPE vocabularies of this family.
+PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u017f]").search
 _CODECS: dict[str, "Codec"] = {}
 
 
@@ -92,23 +99,38 @@ class Codec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        import tiktoken
+
         units, special = _bytes_of_units(), {t["content"] for t in json.loads(Path(path).read_text())["added_tokens"]}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.pieces = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.pieces[i] = token.encode() if token in special else bytes(units[c] for c in token)
+        self.special = [t.encode() for t in special]
+        ranks = {p: i for i, p in enumerate(self.pieces) if p and p not in self.special}
+        self.fast = tiktoken.Encoding("plain", pat_str=PLAIN_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memory: dict[int, tuple[bytes, bytes]] = {}
         self.held = 0
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
+    def plain(self, text: str, data: bytes) -> bool:
+        """Only characters up to U+017F and no special token: there all Unicode versions agree on letters, digits and spaces."""
+        return not OTHER(text) and not any(s in data for s in self.special)
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        out = []
-        for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            out.append((ids.tobytes(), self.decode(ids)))
-        return out
+        out: list = [None] * len(texts)
+        rest = []
+        for i, data in enumerate(texts):
+            text = data.decode()
+            if self.plain(text, data):
+                out[i] = self.fast.encode_ordinary(text)
+            else:
+                rest.append((i, text))
+        for (i, _), e in zip(rest, self.tok.encode_batch_fast([t for _, t in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = e.ids
+        return [(np.array(ids, "<u4").tobytes(), self.decode(ids)) for ids in out]
 
     def documents(self, texts: list[bytes], shared: dict[int, tuple[bytes, bytes]]):
         """(ids as bytes, decoded bytes) of each text; chunks seen before aren't encoded again."""
@@ -188,9 +210,9 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b, texts in portions(batches):
             done = []
-            for ids, decoded in c.documents([t.as_py() or b"" for t in b["text"].cast(pa.binary())], shared.value):
+            for ids, decoded in c.documents(texts, shared.value):
                 text = decoded.decode("utf-8", "replace")
                 done.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) + ((ids, text) if with_ids else ()))
             cols = list(zip(*done, strict=True)) if done else [()] * (len(names) - 1)

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +61,25 @@ def unit_interval(*cols):
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def portions(batches, size: int = 4 << 20):
+    """(rows, their UTF-8 texts) in portions of at most ``size`` bytes of text, or one row, so working memory is bounded."""
+    for b in batches:
+        texts = b["text"].cast(pa.binary())
+        start = held = 0
+        for i, t in enumerate(texts):
+            n = len(t.as_buffer()) if t.is_valid else 0
+            if held + n > size and i > start:
+                yield b.slice(start, i - start), [x.as_py() or b"" for x in texts.slice(start, i - start)]
+                start, held = i, 0
+            held += n
+        if start < b.num_rows:
+            yield b.slice(start), [x.as_py() or b"" for x in texts.slice(start)]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; forgets everything when it holds ``limit`` words, so memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
