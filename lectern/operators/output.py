@@ -9,6 +9,7 @@ import wave
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from lectern.functions import values as V
@@ -32,7 +33,7 @@ def resolve_voices(asked: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("best").isNull(), missing)).withColumnRenamed("best", "chosen")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _slug(text: pd.Series) -> pd.Series:
     import re
 
