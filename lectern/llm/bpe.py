@@ -34,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import portions, table
+from lectern.llm.common import portions, table, trim
 
 WINDOW, MASK = 8, np.uint32(63)
 SHARED = 16_384
-SHARED_BYTES = 16 << 20
-MEMORY_BYTES = 48 << 20
+SHARED_BYTES = 6 << 20
+MEMORY_BYTES = 24 << 20
 _SPACES = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([i])).digest()[:4] for i in range(256)), np.uint32)
 #: Fixed value: the piece pattern of byte-level BPE vocabularies of this family.
@@ -218,6 +218,8 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
             cols = list(zip(*done, strict=True)) if done else [()] * (len(names) - 1)
             types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, t) for x, t in zip(cols, types))], names)
+        c.memory, c.held = {}, 0
+        trim()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -6,6 +6,8 @@ because no byte of a multi-byte character lies in that class.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -76,6 +78,13 @@ def portions(batches, size: int = 4 << 20):
             yield b.slice(start), [x.as_py() or b"" for x in texts.slice(start)]
 
 
+def trim() -> None:
+    """Give memory back at the end of a task: idle workers are kept for the next one."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; forgets everything when it holds ``limit`` words, so memory is bounded."""
 
