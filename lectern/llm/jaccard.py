@@ -8,11 +8,13 @@ any other and windows of the triangle inequality keep everything.  So the region
    of all shingles.  Two linked sets share a prefix shingle, so this replication is lossless; a region is a run of sets
    that share one.  The order puts shingles of crowded buckets last (counts over all documents in a table of fixed size),
    which keeps regions small.  The order only decides the work; any order gives the same links.
-3. Regions of up to ``REGION`` sets are joined within.  In a larger region the smallest sid is the pivot, and each set's
-   exact distance to it is found, one pair per set; sets within 0.25 of the pivot are one component.
-4. Recursion: pairs are left only between different components, and in a pivot's region only inside the triangle
-   window ``|d(x, p) - d(y, p)| <= 0.25``.  Small regions are settled likewise: each set against one partner first, then
-   only pairs between different components.
+3. Regions of up to ``REGION`` sets are joined within.  In a larger one the smallest sid is the pivot; regions with the
+   same pivot are its cell.  Each member's exact distance to the pivot is found, one pair per member; members within 0.25
+   of it are one component.
+4. Recursion: what lies outside a cell's largest component is tried against a few more pivots of that component a round,
+   while rounds still absorb much.  The rest meets, block by block, the blocks inside the triangle window
+   ``|d(x, p) - d(y, p)| <= 0.25``.  Small regions are settled likewise: each set against one partner first, then only
+   pairs between different components.
 5. Candidate pairs meet the size bound, then a parity bitmap (its Hamming distance never exceeds the symmetric
    difference, so no link is lost), then the exact intersection of the sets.
 
@@ -23,19 +25,23 @@ there is none); repeated rows are equal sets; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHashes, cut, shingle_set, table
+from lectern.llm.common import WordHashes, cut, portions, shingle_set, table, trim
 from lectern.llm.components import components
 
 WIDTH = 5
 #: Sets in a region that is joined without a pivot.
-REGION = 128
+REGION = 64
 SKETCH_BITS = 21
+#: Pivots a round; members of a block; rings of the distance to a pivot.
+PIVOTS, BLOCK, RINGS = 8, 256, 16
 #: Document ids up to which a list of them is broadcast (8 bytes each).
 BROADCAST_IDS = 200_000
 _META = "kind int, doc_id long, n int, sid long, bits binary"
@@ -74,42 +80,51 @@ def _describe(batches):
     """Per document its size, sid and bitmap; last, the task's table of bucket counts."""
     memory, table_ = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
     shift = np.uint64(64 - SKETCH_BITS)
-    for b in batches:
+    for b, texts in portions(batches):
         ids, ns, sids, bits, hashes = b["doc_id"], [], [], [], []
-        for t in b["text"].cast(pa.binary()):
-            s = shingle_set(t.as_py() or b"", memory, WIDTH)
+        for t in texts:
+            s = shingle_set(t, memory, WIDTH)
             ns.append(len(s))
             sids.append(set_id(s) if len(s) else 0)
             bits.append(parity_bits(s) if len(s) else b"")
             hashes.append(s)
         if ns:
-            table_ += np.bincount((np.concatenate(hashes) >> shift).astype(np.int64), minlength=len(table_)).astype(np.uint32)
+            at, k = np.unique((np.concatenate(hashes) >> shift).astype(np.uint32), return_counts=True)
+            table_[at] += k.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), ids, pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
     if table_.any():
-        blob = np.minimum(table_, 0xFFFF).astype(np.uint16).tobytes()
+        blob = zlib.compress(np.minimum(table_, 0xFF).astype(np.uint8).tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
+    trim()
 
 
-def _add_tables(batches):
-    total = None
-    for b in batches:
-        for blob in b["bits"]:
-            raw = blob.as_py()
-            part = np.frombuffer(raw, np.uint16 if len(raw) == 2 << SKETCH_BITS else np.uint32).astype(np.uint64)
-            total = part if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["bits"])
+def _add_tables(last: bool):
+    """Sum of the tables of a partition; of the last sum only the bits of the buckets that stand out."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            for blob in b["bits"]:
+                raw = zlib.decompress(blob.as_buffer())
+                part = np.frombuffer(raw, np.uint8 if len(raw) == 1 << SKETCH_BITS else np.uint32)
+                total = part.astype(np.uint32) if total is None else total + part
+        if total is not None:
+            mean = float(np.median(total))
+            out = np.packbits(total > mean + 6 * mean**0.5 + 32).tobytes() if last else zlib.compress(total.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["bits"])
+
+    return run
 
 
-def crowded_buckets(meta: DataFrame) -> np.ndarray:
-    """Boolean table of the buckets whose count stands out; its size is fixed, and parts are added on executors."""
+def crowded_buckets(meta: DataFrame) -> bytes:
+    """Bits of the buckets whose count stands out.  The table has a fixed size; parts are added on executors, 16 at a time."""
     parts = meta.where("kind = 1").select("bits")
-    for n in (16, 1):
-        parts = parts.repartition(n).mapInArrow(_add_tables, "bits binary")
-    rows = parts.collect()
-    counts = np.frombuffer(rows[0]["bits"], np.uint32).astype(np.float64) if rows else np.zeros(1 << SKETCH_BITS)
-    mean = float(np.median(counts))
-    return counts > mean + 6 * mean**0.5 + 32
+    n = parts.count()
+    while n > 16:
+        n = -(-n // 16)
+        parts = parts.repartition(n).mapInArrow(_add_tables(False), "bits binary")
+    rows = parts.repartition(1).mapInArrow(_add_tables(True), "bits binary").collect()
+    return bytes(rows[0]["bits"]) if rows else bytes(1 << (SKETCH_BITS - 3))
 
 
 def prefix(s: np.ndarray, crowded: np.ndarray) -> np.ndarray:
@@ -119,17 +134,17 @@ def prefix(s: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     return cold[:k] if len(cold) >= k else np.concatenate([cold, s[hot][: k - len(cold)]])
 
 
-def _regions_of(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
+def _regions_of(docs: DataFrame, crowded: bytes) -> DataFrame:
     """h, sid, n: a row per prefix shingle of each set."""
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(crowded).tobytes())
+    packed = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches):
         memory, order = WordHashes(), np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
-        for b in batches:
+        for _, texts in portions(batches):
             seen: set[int] = set()
             hs, sids, ns = [np.empty(0, np.uint64)], [], []
-            for t in b["text"].cast(pa.binary()):
-                s = shingle_set(t.as_py() or b"", memory, WIDTH)
+            for t in texts:
+                s = shingle_set(t, memory, WIDTH)
                 if len(s) and (sid := set_id(s)) not in seen:
                     seen.add(sid)
                     hs.append(prefix(s, order))
@@ -143,55 +158,56 @@ def _regions_of(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, sid long, n int")
 
 
-_CANDIDATES = "h long, a long, b long, na int, nb int"
-_NAMES = ["h", "a", "b", "na", "nb"]
+_CANDIDATES = "pivot boolean, a long, b long, n int"
+_NAMES = ["pivot", "a", "b", "n"]
 
 
-class _Pairs:
-    """Distinct pairs of small regions, gathered and given out in bounded parts."""
+class _Found:
+    """Distinct pairs of small regions and distinct (pivot, member) of large ones, given out in bounded parts."""
 
     def __init__(self):
-        self.parts, self.held = [], 0
+        self.parts, self.held = {False: [], True: []}, 0
 
-    def add(self, sid, n, i, j):
+    def pairs(self, sid, n, i, j):
         fits = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
-        i, j = i[fits], j[fits]
-        if len(i):
-            self.parts.append(np.column_stack([sid[i], sid[j], n[i], n[j]]))
-            self.held += len(i)
-
-    def out(self):
-        if self.parts:
-            rows = np.unique(np.concatenate(self.parts), axis=0)
-            self.parts, self.held = [], 0
-            for at in range(0, len(rows), 50_000):
-                r = rows[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(r[:, 2].astype(np.int32)), pa.array(r[:, 3].astype(np.int32))], _NAMES)
+        self.add(False, sid[i[fits]], sid[j[fits]], n[j[fits]])
 
+    def members(self, pivot, sid, n):
+        self.add(True, np.full(len(sid), pivot), sid, n)
 
-def _star(h, pivot, np_, sid, n):
-    k = len(sid)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(np.full(k, pivot)), pa.array(sid), pa.array(np.full(k, np_, np.int32)), pa.array(n.astype(np.int32))], _NAMES)
+    def add(self, kind, a, b, n):
+        if len(a):
+            self.parts[kind].append(np.column_stack([a, b, n]))
+            self.held += len(a)
+
+    def out(self, least: int = 0):
+        if self.held <= least:
+            return
+        for kind, parts in self.parts.items():
+            rows = np.unique(np.concatenate(parts), axis=0) if parts else np.empty((0, 3), np.int64)
+            for at in range(0, len(rows), 50_000):
+                r = rows[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), kind)), pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(r[:, 2].astype(np.int32))], _NAMES)
+        self.parts, self.held = {False: [], True: []}, 0
 
 
 def _join_regions(batches):
-    """Rows sorted by (h, sid).  Small regions give their pairs (h null), large ones a row (h, pivot, member) for each member."""
-    pairs = _Pairs()
+    """Rows sorted by (h, sid).  Small regions give their pairs, large ones (pivot, member) for each member."""
+    found = _Found()
     keep = tuple(np.empty(0, np.int64) for _ in range(3))
-    large = None  # (h, pivot, its size) of a large region whose members are passing through
+    large = None  # (h, pivot) of a large region whose members are passing through
 
     def settle(h, sid, n):
-        nonlocal large
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(h)]]))
         two = starts[lengths == 2]
-        pairs.add(sid, n, two, two + 1)
+        found.pairs(sid, n, two, two + 1)
         for at, k in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
             if k > REGION:
-                yield _star(h[at], sid[at], n[at], sid[at : at + k], n[at : at + k])
+                found.members(sid[at], sid[at : at + k], n[at : at + k])
             else:
                 i, j = np.triu_indices(k, 1)
-                pairs.add(sid, n, at + i, at + j)
+                found.pairs(sid, n, at + i, at + j)
 
     for b in batches:
         h, sid, n = (np.concatenate([old, b[c].to_numpy().astype(np.int64)]) for old, c in zip(keep, ("h", "sid", "n"), strict=True))
@@ -201,25 +217,25 @@ def _join_regions(batches):
         h, sid, n = h[new], sid[new], n[new]
         if large:
             k = int(np.searchsorted(h, large[0], "right"))
-            if k:
-                yield _star(large[0], large[1], large[2], sid[:k], n[:k])
+            found.members(large[1], sid[:k], n[:k])
             if k == len(h):  # the last row may come again
                 keep = (h[-1:], sid[-1:], n[-1:])
+                yield from found.out(500_000)
                 continue
             h, sid, n, large = h[k:], sid[k:], n[k:], None
         last = int(np.searchsorted(h, h[-1], "left"))
         if last:
-            yield from settle(h[:last], sid[:last], n[:last])
+            settle(h[:last], sid[:last], n[:last])
         if len(h) - last > REGION:
-            large = (int(h[-1]), int(sid[last]), int(n[last]))
-            yield _star(large[0], large[1], large[2], sid[last:], n[last:])
+            large = (int(h[-1]), int(sid[last]))
+            found.members(large[1], sid[last:], n[last:])
             last = len(h) - 1
         keep = (h[last:], sid[last:], n[last:])
-        if pairs.held > 500_000:
-            yield from pairs.out()
+        yield from found.out(500_000)
     if len(keep[0]) and not large:
-        yield from settle(*keep)
-    yield from pairs.out()
+        settle(*keep)
+    yield from found.out()
+    trim()
 
 
 def _filter_bits(batches):
@@ -240,15 +256,27 @@ def _intersect(batches):
 
 def _sets(batches):
     memory = WordHashes()
-    for b in batches:
+    for _, texts in portions(batches):
         seen = {}
-        for t in b["text"].cast(pa.binary()):
-            s = shingle_set(t.as_py() or b"", memory, WIDTH)
+        for t in texts:
+            s = shingle_set(t, memory, WIDTH)
             if len(s):
                 seen.setdefault(set_id(s), s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.binary())], ["sid", "shingles"])
 
 
+def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is among the ids; a short list is broadcast, so the rows stay where they are."""
+    ids = cut(ids.distinct(), "keys")
+    few = ids.count() <= BROADCAST_IDS
+    ids = ids.toDF("__only")
+    return df.join(F.broadcast(ids) if few else ids, df[key] == F.col("__only"), "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+
+
 def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on doc_id; the id list is broadcast only below a checked size."""
     ids = cut(ids, "ids")
@@ -267,15 +295,14 @@ class _Corpus:
         self.nodes = self.meta.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
     def candidates(self) -> DataFrame:
-        spark = self.docs.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = _regions_of(self.docs, self.crowded).repartition(parts, "h").sortWithinPartitions("h", "sid")
         return cut(rows.mapInArrow(_join_regions, _CANDIDATES), "regions")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs that the bitmaps don't rule out.  ``pairs``: a, b distinct."""
-        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-        bits = self.meta.join(ids, self.meta["sid"] == ids["a"], "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        pairs = cut(pairs.select("a", "b"), "pairs")
+        bits = _only(self.meta, "sid", _ends(pairs)).groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
         one = bits.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
         two = bits.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_filter_bits, "a long, b long")
@@ -288,6 +315,8 @@ class _Corpus:
     @staticmethod
     def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, na, nb, common: exact intersections."""
+        pairs = cut(pairs.select("a", "b"), "pairs")
+        sets = _only(sets, "sid", _ends(pairs))
         one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("set_a"))
         two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("set_b"))
         return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_intersect, "a long, b long, na long, nb long, common long")
@@ -308,12 +337,12 @@ def group(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of ``docs``."""
     c = _Corpus(docs)
     found = c.candidates()
-    small = cut(c.near(found.where("h is null").select("a", "b").distinct()), "near")
-    large = found.where("h is not null").select("h", F.col("a").alias("pivot"), F.col("b").alias("sid"), F.col("nb").alias("n"))
-    stars = large.where("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-
-    ends = [x.select(F.col(e).alias("sid")) for x in (small, stars) for e in ("a", "b")]
-    sets = c.sets(ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct())
+    small = cut(c.near(found.where("not pivot").select("a", "b").distinct()), "near")
+    # Regions with the same pivot are one cell: a pair that shares a region shares the cell.
+    cells = cut(found.where("pivot").select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "n").distinct(), "cells")
+    stars = cells.where("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    ends = [small.select(F.col(e).alias("sid")) for e in ("a", "b")]
+    sets = c.sets(ends[0].unionByName(ends[1]).unionByName(cells.select("sid")).distinct())
 
     # One partner of each set first: the smallest, from either end.
     both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -324,11 +353,10 @@ def group(docs: DataFrame) -> DataFrame:
     # Then what is left between components: pairs of small regions, and of large ones inside the pivot's window.
     rest = _between(small, roots)
     links = c.measure(rest, sets).where(IS_LINK).select("a", "b")
-    spread = large.join(roots, large["sid"] == roots["node"], "left").select("h", "pivot", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed = spread.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    if not mixed.isEmpty():
-        links = links.unionByName(_windows(c, spread.join(mixed, "h", "left_semi"), measured, sets))
-    roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = components(links.unionByName(_edges(roots)))
+    roots, mixed = _absorb(c, cells, roots, sets)
+    if mixed is not None:
+        roots = components(_windows(c, mixed, measured, sets).unionByName(_edges(roots)))
 
     label = c.nodes.join(roots, c.nodes["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = label.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -337,23 +365,94 @@ def group(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _windows(c: _Corpus, spread: DataFrame, measured: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the components of a large region, whose pairs must lie in the triangle window about its pivot.
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
 
-    The members of the region's largest component are not paired with each other, only with the rest.
+def _absorb(c: _Corpus, cells: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Shrink what lies outside each cell's largest component, against a few pivots of that component a round.
+
+    Gives the components and, if any cell still has several, its members: pivot, sid, n, root, top (its largest's root).
+    """
+    turn, last = 0, None
+    while True:
+        spread = cells.join(roots, cells["sid"] == roots["node"], "left").select("pivot", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        counts = spread.groupBy("pivot", "root").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max(F.struct("k", "root")).alias("t"), F.sum("k").alias("total"))
+        mixed = counts.where("t.k < total").select("pivot", F.col("t.root").alias("top"), (F.col("total") - F.col("t.k")).alias("rest"), "total")
+        spread = cut(spread.join(mixed, "pivot"), "members")
+        work = spread.agg(F.coalesce(F.sum(F.when(F.col("root") != F.col("top"), F.col("total"))), F.lit(0)).alias("pairs"), F.count("*").alias("rows")).first()
+        if not work["rows"]:
+            return roots, None
+        # Rounds end when the last one absorbed little: what is left is far from the largest components.
+        if last is not None and work["pairs"] > 0.8 * last:
+            return roots, spread
+        draw = F.xxhash64("sid", F.lit(turn))
+        seats = spread.where("root = top").groupBy("pivot", F.pmod(draw, F.lit(PIVOTS)).alias("seat")).agg(F.min(F.struct(draw.alias("draw"), "sid", "n")).alias("q"))
+        seats = seats.select("pivot", F.col("q.sid").alias("q"), F.col("q.n").alias("qn"))
+        tries = spread.where("root <> top").join(seats, "pivot").where("4 * n >= 3 * qn and 4 * qn >= 3 * n")
+        tries = tries.select(F.least("sid", "q").alias("a"), F.greatest("sid", "q").alias("b")).distinct()
+        links = c.measure(c.near(tries), sets).where(IS_LINK).select("a", "b")
+        roots = components(links.unionByName(_edges(roots)))
+        turn, last = turn + 1, work["pairs"]
+
+
+def _fold(bits: bytes) -> dict[int, int]:
+    """A parity bitmap as integers of its own size and of half of it, by size in bits."""
+    x, size, out = int.from_bytes(bits, "little"), len(bits) * 8, {}
+    for _ in range(2):
+        out[size] = x
+        size >>= 1
+        x = (x & ((1 << size) - 1)) ^ (x >> size)
+    return out
+
+
+def _compare_blocks(batches):
+    """a, b of the block pairs' members that the size bound, the triangle window and the bitmaps leave."""
+    for b in batches:
+        for at in range(b.num_rows):
+            top, same = b["top"][at].as_py(), b["same"][at].as_py()
+            xs, ys = b["xs"][at].as_py(), b["ys"][at].as_py()
+            ys = sorted(((y["n"], y["sid"], y["root"], y["d"], _fold(y["bits"])) for y in ys), key=lambda y: y[0])
+            sizes = np.array([y[0] for y in ys])
+            out = []
+            for x in xs:
+                n, sid, root, d, fx = x["n"], x["sid"], x["root"], x["d"], _fold(x["bits"])
+                for m, sid2, root2, d2, fy in ys[np.searchsorted(4 * sizes, 3 * n) : np.searchsorted(3 * sizes, 4 * n, "right")]:
+                    # Of two members outside the largest component one order is enough.
+                    if root2 == root or (root2 != top and same and sid >= sid2) or abs(d - d2) > 0.25 + 1e-9:
+                        continue
+                    k = min(max(fx), max(fy))
+                    if 7 * (fx[k] ^ fy[k]).bit_count() <= n + m:
+                        out.append((min(sid, sid2), max(sid, sid2)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def _windows(c: _Corpus, members: DataFrame, measured: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of a pivot's cell, whose pairs must lie in the triangle window about the pivot.
+
+    Members are gathered in blocks of about ``BLOCK`` by their distance to the pivot.  Blocks of members outside the
+    cell's largest component meet the blocks whose distances are in reach; a task holds one pair of blocks at a time, and
+    only pairs that pass the bitmaps become rows.
     """
     dist = measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    members = spread.join(dist, ["pivot", "sid"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    members = cut(members, "members")
-    sizes = members.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("top"))
-    minor = members.join(sizes, "h").where("root <> top.root")
-    x = minor.select("h", *(F.col(k).alias(f"{k}_x") for k in ("sid", "n", "root", "d")))
-    y = members.select("h", *(F.col(k).alias(f"{k}_y") for k in ("sid", "n", "root", "d")))
-    ok = (F.col("root_x") != F.col("root_y")) & (F.abs(F.col("d_x") - F.col("d_y")) <= 0.25 + 1e-9)
-    ok &= (4 * F.col("n_x") >= 3 * F.col("n_y")) & (4 * F.col("n_y") >= 3 * F.col("n_x"))
-    pairs = x.join(y, "h").where(ok).select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
-    near = cut(c.near(cut(pairs, "windows")), "window-near")
-    return c.measure(near, sets).where(IS_LINK).select("a", "b")
+    members = members.join(dist, ["pivot", "sid"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    bits = _only(c.meta, "sid", members.select("sid")).groupBy("sid").agg(F.first("bits").alias("bits"))
+    member = F.struct("sid", F.col("n").cast("int").alias("n"), "root", "d", "bits")
+    ring = F.floor(F.col("d") * RINGS).cast("int")
+    seat = F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK)))
+    placed = members.join(bits, "sid").select("pivot", "top", "root", ring.alias("ring"), seat.alias("seat"), member.alias("m"))
+
+    def blocks(rows, name):
+        return rows.groupBy("pivot", "top", "ring", "seat").agg(F.collect_list("m").alias(name))
+
+    placed = cut(placed, "placed")
+    xs, minor, major = blocks(placed.where("root <> top"), "xs"), blocks(placed.where("root <> top"), "ys"), blocks(placed.where("root = top"), "ys")
+    ys = minor.withColumn("same", F.lit(True)).unionByName(major.withColumn("same", F.lit(False)))
+    ys = ys.select("pivot", F.col("ring").alias("ring_y"), "ys", "same")
+    pairs = xs.select("pivot", "top", "ring", "xs").join(ys, "pivot").where(F.abs(F.col("ring") - F.col("ring_y")) <= RINGS // 4 + 1)
+    near = pairs.select("top", "same", "xs", "ys").mapInArrow(_compare_blocks, "a long, b long")
+    return c.measure(near.distinct(), sets).where(IS_LINK).select("a", "b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
