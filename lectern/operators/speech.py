@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,6 +54,48 @@ def to_nodes(blocks: DataFrame) -> DataFrame:
     return tidy(rows)
 
 
+def header(documents: DataFrame) -> DataFrame:
+    """Rule 14: node rows ahead of a document, from (doc_id, title, author): the title, then a plausible author, each with the longest pause."""
+    by = F.when(T.plausible_author(F.col("author")), F.concat(F.lit("By "), F.col("author")))
+    rows = documents.select("doc_id", F.posexplode(F.filter(F.array(F.nullif("title", F.lit("")), by), lambda x: x.isNotNull())).alias("i", "text"))
+    rows = expand(rows.withColumn("text", T.ensure_terminal(F.col("text"))))
+    nodes = F.concat(T.spelled(F.col("text")), F.array(T.pause(V.SECTION)))
+    return rows.select("doc_id", (F.col("i") - 2).alias("pos"), F.posexplode(nodes).alias("i", "x")).select("doc_id", "pos", "i", "x.*")
+
+
+def with_header(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Header nodes, then a document's nodes, tidied as one."""
+    body = nodes.select("doc_id", "seq", F.lit(0).alias("i"), "node", "text", "ms").withColumnRenamed("seq", "pos")
+    return tidy(header(documents).unionByName(body))
+
+
+def drop_title_echo(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The first block goes if it is a heading whose tokens resemble the title's (ratio 0.8 or more)."""
+    first = Window.partitionBy("doc_id").orderBy("pos")
+    rows = blocks.withColumn("__first", F.row_number().over(first) == 1).join(documents.select("doc_id", F.col("title").alias("__title")), "doc_id", "left")
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    ask = F.col("__first") & (F.col("kind") == "heading") & (F.coalesce("__title", F.lit("")) != "")
+    echo = similar(T.tokens(F.when(ask, F.col("text")).otherwise("a")), T.tokens(F.when(ask, F.col("__title")).otherwise("b"))) >= 0.8
+    return rows.where(~(ask & echo)).select(*blocks.columns)
+
+
+def plain_text(blocks: DataFrame) -> DataFrame:
+    """doc_id, text: a readable rendering of blocks as extracted."""
+    text, level = T.strip(T.re_sub(F.col("text"), T.U + r"\s+", " ")), F.greatest(F.lit(1), F.coalesce("level", F.lit(0)))
+    marker = F.when(F.coalesce("ordinal", F.lit(0)) != 0, F.concat(F.col("ordinal").cast("string"), F.lit("."))).otherwise("-")
+    line = F.when(F.col("kind") == "heading", F.concat(F.lit("\n"), F.repeat(F.lit("#"), level), F.lit(" "), text, F.lit("\n")))
+    line = line.when(F.col("kind") == "list_item", F.concat(marker, F.lit(" "), text)).when(F.col("kind") == "quote", F.concat(F.lit("> "), text, F.lit("\n")))
+    line = line.when(F.col("kind").isin("caption", "table"), F.concat(F.lit("["), F.col("kind"), F.lit("] "), text, F.lit("\n")))
+    line = line.when(F.col("kind") == "code", F.concat(F.lit("[code]\n"), text, F.lit("\n"))).otherwise(F.concat(text, F.lit("\n")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", line.alias("p"))))
+    rows = blocks.where(text != "")
+    return rows.groupBy("doc_id").agg(F.concat(T.strip(F.array_join(F.transform(ordered, lambda x: x["p"]), "\n")), F.lit("\n")).alias("text"))
+
+
 def tidy(rows: DataFrame) -> DataFrame:
     """Rule 15b on (doc_id, pos, i, node, text, ms): empty nodes go, neighbouring pauses become their longest, ends are trimmed."""
     rows = rows.where((F.col("node") != "Pause") & (T.strip(F.coalesce("text", F.lit(""))) != "") | (F.col("node") == "Pause") & (F.col("ms") > 0))

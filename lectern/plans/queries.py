@@ -222,6 +222,36 @@ def list_announce(spark, sf):
     return S.to_nodes(rows)
 
 
+_HEAD = [(1, "The US budget", "Jane Doe"), (2, "Plain title.", "Wikipedia contributors"), (3, None, "Ann Lee"), (4, "", None)]
+_HEAD_OUT = [
+    (1, 0, "Say", "The", None), (1, 1, "Spell", "US", None), (1, 2, "Say", "budget.", None), (1, 3, "Pause", None, 1200), (1, 4, "Say", "By Jane Doe.", None), (1, 5, "Pause", None, 1200), (1, 6, "Say", "Body.", None),
+    (2, 0, "Say", "Plain title.", None), (2, 1, "Pause", None, 1200), (2, 2, "Say", "Body.", None), (3, 0, "Say", "By Ann Lee.", None), (3, 1, "Pause", None, 1200), (3, 2, "Say", "Body.", None), (4, 0, "Say", "Body.", None),
+]
+
+
+@query(f"SELECT doc_id, seq, node, text, ms::INT AS ms FROM {_values(_HEAD_OUT, 'doc_id, seq, node, text, ms')}")
+def header_nodes(spark, sf):
+    docs = _frame(spark, _HEAD, "doc_id long, title string, author string")
+    body = docs.select("doc_id", F.lit(0).alias("seq"), F.lit("Say").alias("node"), F.lit("Body.").alias("text"), F.lit(None).cast("int").alias("ms"))
+    return S.with_header(docs, body)
+
+
+_ECHO = [(1, 0, "heading", "The great title"), (1, 1, "paragraph", "text"), (2, 0, "heading", "Another heading"), (3, 0, "paragraph", "The great title")]
+
+
+@query(f"SELECT doc_id, pos, text FROM {_values(_ECHO, 'doc_id, pos, kind, text')} WHERE NOT (doc_id = 1 AND pos = 0)")
+def title_echo(spark, sf):
+    rows = _frame(spark, _ECHO, "doc_id long, pos int, kind string, text string")
+    titles = _frame(spark, [(i, "The great title!") for i in (1, 2, 3)], "doc_id long, title string")
+    return S.drop_title_echo(rows, titles).select("doc_id", "pos", "text")
+
+
+@query(f"WITH {CLEAN} SELECT doc_id, string_agg(CASE WHEN regexp_matches(text, ' \\| .* \\| ') THEN '[table] ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos) || chr(10) AS text FROM clean GROUP BY doc_id")
+def plain_text(spark, sf):
+    rows = _clean(spark, sf).withColumn("kind", F.when(F.col("text").rlike(r" \| .* \| "), "table").otherwise("paragraph"))
+    return S.plain_text(rows)
+
+
 @query(f"WITH {NODES} SELECT doc_id, seq::INT AS seq, node, text, ms FROM nodes")
 def to_nodes(spark, sf):
     return _speech(spark, sf)
