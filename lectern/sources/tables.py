@@ -12,9 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by key if the files give fewer tasks than there are cores; larger inputs keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def prose(spark: SparkSession, sf_dir: str, paged: bool = False) -> DataFrame:
     """One block a line of ``documents``; lines with two or more ' | ' are tables."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     kind = F.when(F.col("text").rlike(r" \| .* \| "), "table").otherwise("paragraph")
     page = F.floor(F.col("pos") / 20).cast("int") + 1 if paged else F.lit(None).cast("int")
     position = (F.col("pos") % 20) / 20.0 if paged else F.lit(None).cast("double")
@@ -24,7 +31,7 @@ def prose(spark: SparkSession, sf_dir: str, paged: bool = False) -> DataFrame:
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per conversation: each turn a heading with the role, then its text."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     both = F.array(F.struct(F.lit("heading").alias("kind"), F.col("role").alias("text"), F.lit(2).alias("level")), F.struct(F.lit("paragraph").alias("kind"), F.col("text").alias("text"), F.lit(0).alias("level")))
     rows = turns.select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(both).alias("i", "b"))
     null = F.lit(None).cast("int")
