@@ -89,10 +89,11 @@ def contained(blocks: DataFrame) -> DataFrame:
     padded = F.concat(F.lit(" "), F.array_join("tok", " "), F.lit(" "))
     m = m.select("doc_id", "pos", "n", "can", "tok", padded.alias("run"))
     grams = F.array_distinct(F.when(F.col("n") > 1, F.zip_with(F.slice("tok", 1, F.col("n") - 1), F.slice("tok", 2, F.col("n") - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>")))
-    hay = m.where("n > 1").select("doc_id", F.col("n").alias("hn"), F.col("run").alias("hrun"), F.explode(grams).alias("g"))
+    hay = m.where("n > 1").select("doc_id", F.col("pos").alias("hpos"), F.col("n").alias("hn"), F.explode(grams).alias("g"))
     needle = m.where("can")
     two = needle.where("n > 1").withColumn("g", F.xxhash64(F.get("tok", F.lit(0)), F.get("tok", F.lit(1))))
-    hits = two.join(hay, ["doc_id", "g"]).where("hn > n and instr(hrun, run) > 0").select("doc_id", "pos")
+    met = two.join(hay, ["doc_id", "g"]).where("hn > n").select("doc_id", "pos", "run", "hpos")
+    hits = met.join(m.select("doc_id", F.col("pos").alias("hpos"), F.col("run").alias("hrun")), ["doc_id", "hpos"]).where("instr(hrun, run) > 0").select("doc_id", "pos")
     words = m.where("n > 1").select("doc_id", F.explode(F.array_distinct("tok")).alias("w")).distinct()
     one = needle.where("n = 1").withColumn("w", F.get("tok", F.lit(0))).join(words, ["doc_id", "w"], "left_semi").select("doc_id", "pos")
     return hits.unionByName(one).distinct()
