@@ -52,6 +52,18 @@ def slug(c):
     return _slug(c)
 
 
+FALLBACK_STEM = "document"
+
+
+def default_stem(title, path, url):
+    """The first of title, file stem, and the url's last step or host that leaves a slug."""
+    name = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+    parts = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", 2)
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    tail = F.when(name(parts) != "", name(parts)).otherwise(host)
+    return F.coalesce(*(F.when(slug(c) != "", slug(c)) for c in (title, name(path), tail)), F.lit(FALLBACK_STEM))
+
+
 def unique_stems(df: DataFrame, stem: str, key: str) -> DataFrame:
     """Derived names never clash: the second of a stem gets -2, and so on, in order of the key."""
     n = F.row_number().over(Window.partitionBy(stem).orderBy(key))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions import values as V
 from lectern.operators import blocks as B
+from lectern.operators import merge as M
 from lectern.operators import output as O
 from lectern.operators import speech as S
+from lectern.sources import landing, tables, web
 from lectern.sources import pdf as P
-from lectern.sources import tables, web
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -133,7 +134,10 @@ def vocabulary(spark, sf):
 _WRAP = [(1, 0, "the representa-\ntion of a self-\nattention layer"), (1, 1, "self-attention is good"), (2, 0, "chained a-\nb-\nc here"), (3, 0, "plain \n wrap\n\nonly"), (4, 0, "no break")]
 
 
-@query()
+_WRAP_OUT = [(1, 0, "the representation of a self-attention layer"), (1, 1, "self-attention is good"), (2, 0, "chained ab- c here"), (3, 0, "plain wrap only"), (4, 0, "no break")]
+
+
+@query(f"SELECT doc_id, pos, text FROM {_values(_WRAP_OUT, 'doc_id, pos, text')}")
 def hyphen_repair(spark, sf):
     rows = _frame(spark, _WRAP, "doc_id long, pos int, text string")
     return B.repair_wraps(rows)
@@ -478,3 +482,92 @@ def golden_diff(spark, sf):
     a = _speech(spark, sf).select("doc_id", "seq", "node", "text")
     b = a.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")))
     return a.exceptAll(b).groupBy("doc_id").agg(F.count("*").alias("changed"))
+
+
+# --- responses, names, merging -----------------------------------------------------------------------------------------
+_BODIES = [
+    (1, "text/html; charset=utf-8", "caf\u00e9".encode(), "caf\u00e9"), (2, "text/html", "caf\u00e9".encode("latin-1"), "caf\u00e9"), (3, None, b"\x93quoted\x94", "\u201cquoted\u201d"), (4, "text/html; charset=none-such", b"plain", "plain"),
+    (5, "text/html;charset=iso-8859-2; x=y", b"\xb1", "\u0105"), (6, "", b"\x81\xff", "\x81\u00ff"), (7, "text/html; charset=utf-8", b"\x80", "\u20ac"), (8, "", b"", ""), (9, "text/html", None, None),
+]
+
+
+@query(f"SELECT id, text FROM {_values([(r[0], r[3]) for r in _BODIES], 'id, text')} UNION ALL SELECT -1 - page_id, html FROM pages")
+def decode_bodies(spark, sf):
+    rows = _frame(spark, [r[:3] for r in _BODIES], "id long, content_type string, body binary")
+    pages = tables.table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("id"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"))
+    return rows.unionByName(pages).select("id", landing.decoded(F.col("body"), F.col("content_type")).alias("text"))
+
+
+def _responses(pages):
+    """Every other page as a cached response, some of them broken."""
+    body = F.when(F.col("page_id") % 6 != 0, F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    return pages.where("page_id % 2 = 0").select(landing.url_key(F.col("url")).alias("key"), F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), body.alias("body"), F.col("page_id").alias("fetched_at"))
+
+
+_URL_KEY = "substr(sha256(url), 1, 32)"
+_GOOD = "page_id % 2 = 0 AND page_id % 6 <> 0"
+
+
+@query(f"SELECT {_URL_KEY} AS key, url, url AS final_url, 200 AS status, 'text/html' AS content_type, sha256(coalesce(arg_max(html, page_id), '')) AS body_sha256 FROM pages WHERE {_GOOD} AND url IS NOT NULL GROUP BY url")
+def cached_responses(spark, sf):
+    pages = tables.table(spark, sf, "pages")
+    return landing.cached(pages.where("url is not null"), _responses(pages)).withColumn("body_sha256", F.sha2("body", 256)).drop("body")
+
+
+@query(f"SELECT DISTINCT {_URL_KEY} AS key, url FROM pages WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM pages WHERE {_GOOD} AND url IS NOT NULL)")
+def fetch_plan(spark, sf):
+    pages = tables.table(spark, sf, "pages")
+    return landing.to_fetch(pages, _responses(pages)).select("key", "url")
+
+
+@query()
+def thin_articles(spark, sf):
+    pages = tables.table(spark, sf, "pages")
+    return landing.thin_articles(pages, web.html_blocks(pages))
+
+
+_NAMED = [
+    (1, "A Fine Title", "/x/y.html", None, "a-fine-title"), (2, "!!!", "/data/My_report.final.pdf", None, "my-reportfinal"), (3, None, None, "https://a.org/blog/post-1.html?x=1", "post-1"), (4, "", None, "https://www.a.org/", "wwwaorg"),
+    (5, None, None, None, "document"), (6, "\u6f22\u5b57", None, "https://b.org/\u6f22", "document"), (7, None, "/x/.hidden", "https://c.org/d/", "hidden"),
+]
+
+
+@query(f"SELECT id, stem FROM {_values([(r[0], r[4]) for r in _NAMED], 'id, stem')}")
+def default_stems(spark, sf):
+    rows = _frame(spark, [r[:4] for r in _NAMED], "id long, title string, path string, url string")
+    return rows.select("id", O.default_stem(F.col("title"), F.col("path"), F.col("url")).alias("stem"))
+
+
+_MERGE = 500
+_FILLED = f"""{RUNS}, o AS (SELECT doc_id, run_id, n_chars, text, row_number() OVER (PARTITION BY doc_id ORDER BY run_id) AS k FROM runs),
+    walk AS (SELECT doc_id, k, 0 AS chunk, n_chars AS used FROM o WHERE k = 1 UNION ALL
+      SELECT o.doc_id, o.k, CASE WHEN w.used + o.n_chars + 1 <= {_MERGE} THEN w.chunk ELSE w.chunk + 1 END, CASE WHEN w.used + o.n_chars + 1 <= {_MERGE} THEN w.used + o.n_chars + 1 ELSE o.n_chars END FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {_FILLED} SELECT doc_id, count(DISTINCT chunk)::BIGINT AS n_chunks, (count(DISTINCT chunk) - 1)::BIGINT AS kept, (count(*) - count(DISTINCT chunk))::BIGINT AS lost FROM walk GROUP BY doc_id")
+def merge_report(spark, sf):
+    return M.merge_report(S.runs(_speech(spark, sf)), _MERGE)
+
+
+@query()
+def merged_chunks(spark, sf):
+    return M.merged_chunks(S.runs(_speech(spark, sf)), _MERGE)
+
+
+@query(f"WITH {RUNS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY run_id) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM runs) SELECT doc_id, run_id, text FROM o WHERE total <= 5 OR list_contains(list_transform(range(5), lambda i: i * total // 5), k)")
+def even_sample(spark, sf):
+    return M.evenly(S.runs(_speech(spark, sf)), 5).select("doc_id", "run_id", "text")
+
+
+@query(f"WITH {CLEAN}, k AS (SELECT CASE WHEN regexp_matches(text, ' \\| .* \\| ') THEN 'table' ELSE 'paragraph' END AS kind, {nwords('text')} AS w FROM clean) SELECT kind, count(*)::BIGINT AS n, sum(w)::BIGINT AS words, min(w)::BIGINT AS shortest, max(w)::BIGINT AS longest FROM k GROUP BY kind")
+def kind_stats(spark, sf):
+    w = T.words(F.col("text")).cast("long")
+    kind = F.when(F.col("text").rlike(r" \| .* \| "), "table").otherwise("paragraph")
+    return _clean(spark, sf).select(kind.alias("kind"), w.alias("w")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("w").alias("words"), F.min("w").alias("shortest"), F.max("w").alias("longest"))
+
+
+@query(f"SELECT page_id, CASE WHEN {_TITLE} <> '' THEN {_TITLE} END AS title, url AS comment, (1 + ({_TITLE} <> '')::INT + (url IS NOT NULL)::INT)::INT AS n_tags FROM pages")
+def document_tags(spark, sf):
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    t = O.tags(F.when(title != "", title), F.lit(None).cast("string"), F.col("url"), F.lit(None).cast("string"))
+    return tables.table(spark, sf, "pages").select("page_id", t.alias("t")).select("page_id", F.col("t")["title"].alias("title"), F.col("t")["comment"].alias("comment"), F.size("t").alias("n_tags"))
