@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -193,6 +194,54 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_wrapped_and_embedded_notices(spark):
+    wrap = lambda name, width, lead="": "\n".join(textwrap.wrap(licenses.TEMPLATES[name], width, initial_indent=lead, subsequent_indent=lead))
+    texts = {
+        1: "Copyright 2020 A. Person\n\n" + wrap("mit-grant", 78) + "\n\nThe end.",
+        2: "/*\r\n" + wrap("isc", 60, " * ").replace("\n", "\r\n") + "\r\n */\r\nint main(void)",
+        3: wrap("gpl-3.0-header", 70, "# ") + "\nimport os",
+        4: "The tool was written in a long winter and is Released under the MIT License. It has many users and some of them write letters.",
+        5: "The code of this large project is released under the MIT License, while all of its texts are licensed under CC BY 4.0. More follows here.",
+        6: "nothing here\n" + wrap("apache-2.0-header", 72) + "\nmore",
+        7: "the mit students wrote under the licensed software and copyright notices of other people",
+        8: "Released under the MIT License.\nplain words after it",
+        9: wrap("mpl-2.0", 30),
+        10: "\n".join([wrap("bsd-3-clause", 40), "some other words", wrap("bsd-3-clause", 50)]),
+    }
+    got = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["line_no"], r["license_id"]))
+        assert 0.75 <= r["dice"] <= 1
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: [(2, "mit-grant")], 2: [(1, "isc")], 3: [(0, "gpl-3.0-header")], 4: [(0, "mit")], 5: [(0, "cc-by-4.0"), (0, "mit")],
+        6: [(1, "apache-2.0"), (1, "apache-2.0-header")], 8: [(0, "mit")], 9: [(0, "mpl-2.0")], 10: [(0, "bsd-3-clause"), (5, "bsd-3-clause")],
+    }
+
+
+def test_license_windows_against_brute_force(spark):
+    """Every template with a window that reaches the threshold in a text reports, unless a notice of more evidence covers it."""
+    rng = random.Random(5)
+    pool = [w for t in ("mit", "bsd-notice", "gpl-2.0", "gpl-3.0", "cc-by-4.0") for w in re.sub("[^a-z0-9]+", " ", licenses.TEMPLATES[t].lower()).split()]
+    texts = {}
+    for i in range(150):
+        words = [rng.choice(pool) for _ in range(rng.randrange(5, 25))]
+        notice = licenses.TEMPLATES[rng.choice(["mit", "gpl-3.0", "cc-by-4.0"])].split()
+        if i % 3:
+            at = rng.randrange(len(words))
+            words[at:at] = [w for w in notice if rng.random() < 0.95]
+        texts[i] = "".join(w + rng.choice(" \n   ") for w in words)
+    want = set()
+    for i, text in texts.items():
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for template in licenses.TEMPLATES.values():
+            t, far = licenses.bigrams_of(template), licenses.reach(template)
+            if any(2 * len((g := set(grams[a:b])) & t) >= 0.75 * (len(g) + len(t)) for a in range(len(grams)) for b in range(a + 1, min(len(grams), a + far) + 1)):
+                want.add(i)
+    out = licenses.scan(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == want and 50 < len(want) < 150
+
+
 def test_language(docs, empty):
     words = {"en": "the cat sat on the mat and then ran away from the house " * 40, "de": "die katze lag auf der matte und lief dann schnell aus dem haus " * 40}
     names, score = langid.predict(["the house and the cat".encode(), "der matte und die katze".encode(), b"123", None], words)
