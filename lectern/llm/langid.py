@@ -8,7 +8,9 @@ Reference text is a bounded sample, at most ``REFERENCE_CHARS`` characters a lan
 among those whose crc32(doc_id) mod 5 is not 0.  Whole texts are scored.  Letters are lower-cased and runs of other
 characters count as one space.
 
-The automata are dense transition tables, and a batch is parsed in lockstep: texts are cut into rows of ``STRIDE``
+Every character of the reference texts has its own code; one that a language's reference lacks has no transition there.
+The automata are sparse transition tables, whose rows lie over each other in one array, so their size goes with the
+reference text and not with the number of letters.  A batch is parsed in lockstep: texts are cut into rows of ``STRIDE``
 characters, all rows step together through one table, so the work is a few array operations per character whatever the
 text lengths.  (A row starts a phrase, for every language alike.)  One scan, no shuffle; the reference text of some KB
 is broadcast and each worker builds its tables once.
@@ -32,7 +34,6 @@ from lectern.llm.common import table
 REFERENCE_CHARS = 30_000
 STRIDE = 256
 FOLDS = 5
-MAX_ALPHABET = 120
 _TABLES: dict[str, tuple] = {}
 
 
@@ -41,7 +42,10 @@ def normalise(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of a code sequence as a dense table; 0 is both the root and no transition."""
+    """Suffix automaton of a sequence of codes from 1 on; code 0 has no transition.
+
+    A state is the offset of its row, its own one; entry ``offset + code`` is a transition where ``owner`` names the offset.
+    """
 
     def __init__(self, codes: list[int], alphabet: int):
         nxt: list[dict[int, int]] = [{}]
@@ -69,15 +73,34 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.table = np.zeros((len(nxt), alphabet), np.int32)
-        for i, row in enumerate(nxt):
+        offsets = self._lay(nxt)
+        size = max(offsets) + alphabet
+        self.owner, self.to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        for row, at in zip(nxt, offsets, strict=True):
             for c, j in row.items():
-                self.table[i, c] = j * alphabet
-        self.table = self.table.ravel()
+                self.owner[at + c], self.to[at + c] = at, offsets[j]
+        self.root = offsets[0]
+        self.start = np.full(alphabet, self.root, np.int32)
+        for c, j in nxt[0].items():
+            self.start[c] = offsets[j]
+
+    @staticmethod
+    def _lay(nxt: list[dict[int, int]]) -> list[int]:
+        """An offset for each row, such that no two rows share an entry or an offset: the next fit, long rows first."""
+        offsets, used, filled, last = [0] * len(nxt), set(), set(), {}
+        for i in sorted(range(len(nxt)), key=lambda i: -len(nxt[i])):
+            row = list(nxt[i])
+            at = last.get(len(row), 0)
+            while at in used or any(at + c in filled for c in row):
+                at += 1
+            offsets[i] = last[len(row)] = at
+            used.add(at)
+            filled.update(at + c for c in row)
+        return offsets
 
     def phrases(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row; rows are sorted by falling length, ``grid`` is column-major over rows."""
-        state = np.zeros(grid.shape[1], np.int32)
+        state = np.full(grid.shape[1], self.root, np.int32)
         count = np.zeros(grid.shape[1], np.int32)
         live = np.searchsorted(-lengths, -np.arange(len(grid)), "left")
         for step, c in enumerate(grid):
@@ -85,24 +108,20 @@ class Automaton:
             if not k:
                 break
             c = c[:k]
-            to = self.table[state[:k] + c]
-            broke = to == 0
+            at = state[:k] + c
+            broke = self.owner[at] != state[:k]
             count[:k] += broke
-            state[:k] = np.where(broke, self.table[c], to)
+            state[:k] = np.where(broke, self.start[c], self.to[at])
         return count + (lengths > 0)
 
 
 def models(reference: dict[str, str]) -> tuple[list[str], np.ndarray, list[Automaton]]:
-    """Languages, code of each code point (1 and up, the rest is 0), automata."""
+    """Languages, code of each code point (1 and up; 0 is in no reference), automata."""
     key = str(sorted((k, zlib.crc32(v.encode())) for k, v in reference.items()))
     if key not in _TABLES:
         langs = sorted(reference)
-        seen: dict[str, int] = {}
-        for lang in langs:
-            for c in reference[lang]:
-                seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[: MAX_ALPHABET - 1]
-        codes = np.zeros(0x110000, np.uint8)
+        letters = sorted(set().union(*reference.values()))
+        codes = np.zeros(0x110000, np.uint16 if len(letters) < 1 << 16 else np.int32)
         for i, c in enumerate(letters):
             codes[ord(c)] = i + 1
         automata = [Automaton([int(codes[ord(c)]) for c in reference[lang]], len(letters) + 1) for lang in langs]
@@ -134,7 +153,7 @@ def encode(text: bytes, codes: np.ndarray) -> tuple[np.ndarray, bool]:
     points = fold[np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)]
     letter = alpha[points]
     if not letter.any():
-        return np.empty(0, np.uint8), False
+        return np.empty(0, codes.dtype), False
     points = np.where(letter, points, 32)
     keep = letter | np.concatenate([[False], letter[:-1]])  # one space after a word
     points = points[keep]
@@ -156,7 +175,7 @@ def predict(texts: list[bytes | None], reference: dict[str, str]) -> tuple[list[
         return names, score
     lengths = np.array([len(r) for r in rows])
     order = np.argsort(-lengths, kind="stable")
-    grid = np.zeros((STRIDE, len(rows)), np.uint8)
+    grid = np.zeros((STRIDE, len(rows)), codes.dtype)
     for to, k in enumerate(order):
         grid[: lengths[k], to] = rows[k]
     owner = np.array(owner)[order]

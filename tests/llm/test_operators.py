@@ -261,6 +261,30 @@ def test_language(docs, empty):
     assert langid.identify(empty, langid.reference_texts(empty)).count() == 0
 
 
+def test_language_of_large_scripts():
+    """Scripts with more letters than a byte holds, beside others, against a longest match by string search."""
+    rng = random.Random(3)
+    letters = {"zh": [chr(0x4E00 + i) for i in range(600)], "zh-hant": [chr(0x4E00 + i) for i in range(500)] + [chr(0x7000 + i) for i in range(100)], "ko": [chr(0xAC00 + i) for i in range(400)], "el": list("αβγδεζηθικλμνξοπρστυφχψω"), "en": list("etaoinshrdlu")}
+    lexicon = {k: ["".join(rng.choices(v, k=rng.randrange(1, 4))) for _ in range(500)] for k, v in letters.items()}
+    text = lambda k, n: " ".join(rng.choices(lexicon[k], k=n))
+    reference = {k: text(k, 2500) for k in letters}
+    langs, codes, automata = langid.models(reference)
+    assert len({int(codes[ord(c)]) for v in reference.values() for c in v} - {0}) == len(set("".join(reference.values())))
+    samples = {k: text(k, 60)[: langid.STRIDE] for k in letters}
+    for k, sample in samples.items():
+        c, _ = langid.encode(sample.encode(), codes)
+        for lang, automaton in zip(langs, automata, strict=True):
+            want, held = 1, ""
+            for x in sample.rstrip():
+                if held + x in reference[lang]:
+                    held += x
+                else:
+                    want, held = want + 1, x if x in reference[lang] else ""
+            assert automaton.phrases(c[:, None], np.array([len(c)]))[0] == want, (k, lang)
+    names, _ = langid.predict([s.encode() for s in samples.values()], reference)
+    assert names == list(samples)
+
+
 def test_jaccard(docs, empty):
     sets = {}
     for d, text in TEXT.items():
