@@ -199,6 +199,12 @@ def expand_documents(spark, sf):
     return S.expand(_clean(spark, sf).where(F.col("text").rlike("@|%|&|://|www")).select("doc_id", "pos", "text"))
 
 
+# The SQL above holds only its own blocks; this is every block, held against plain Python by the tests.
+@query()
+def expand_blocks(spark, sf):
+    return S.expand(_clean(spark, sf).select("doc_id", "pos", "text"))
+
+
 _SPELL = [(1, "The US and the UK agree"), (2, "Two MPs met NASA and WHO"), (3, "the CEO's PhD"), (4, "no acronyms"), (5, "HTTP")]
 _SPELL_OUT = [(1, 0, "Say", "The"), (1, 1, "Spell", "US"), (1, 2, "Say", "and the"), (1, 3, "Spell", "UK"), (1, 4, "Say", "agree"), (2, 0, "Say", "Two"), (2, 1, "Spell", "MP"), (2, 2, "Say", "s"), (2, 3, "Say", "met NASA and WHO"), (3, 0, "Say", "the"), (3, 1, "Spell", "CEO"), (3, 2, "Say", "s"), (3, 3, "Say", "PhD"), (4, 0, "Say", "no acronyms"), (5, 0, "Spell", "HTTP")]
 

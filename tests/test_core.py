@@ -1,6 +1,7 @@
 """Rules against plain-Python twins and literal cases; queries against their SQL is the driver's part."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from lectern.functions import values as V
 from lectern.operators import blocks as B
 from lectern.operators import output as O
 from lectern.operators import speech as S
+from lectern.plans.queries import QUERIES
 from lectern.sources import pdf, web
 from lectern.streaming import ingest
 
@@ -135,3 +137,34 @@ def test_resume_makes_no_second_call(spark, tmp_path):
 def test_slug(spark):
     assert one(spark, O.slug, "Crème Brûlée: a_story!") == "creme-brulee-a-story"
     assert len(one(spark, O.slug, "word " * 40)) <= 80
+
+
+def _expanded(text):
+    """Rules 10 and 11 in plain Python."""
+    text, held = re.sub(V.URL, "link", re.sub(V.EMAIL, "", text)), []
+    for p in V.PROTECTED:
+        text = re.sub(p, lambda m: held.append(m[0]) or f"\0{len(held) - 1}\0", text)
+    for p, to in V.EXPANSIONS:
+        text = re.sub(p, re.sub(r"\$(\d)", r"\\\1", to), text)
+    for i, x in enumerate(held):
+        text = text.replace(f"\0{i}\0", x)
+    return re.sub(r"[ \t]+", " ", text).strip()
+
+
+def test_expand_blocks_takes_every_block(spark, tmp_path):
+    lines = {
+        "Smith et al. wrote it, e.g. here, i.e. there": "Smith and others wrote it, for example here, that is there",
+        "see Fig. 3 and No. 5": "see Figure 3 and Number 5",
+        "salt § 4 at 20°": "salt section 4 at 20 degrees",
+        "pages 2–3 of example.com/page": "pages 2 to 3 of link",
+        "80% of v2.5 & more to a.b@c.org": "80 percent of v2.5 and more to",
+        "nothing to change": "nothing to change",
+    }
+    assert {k: _expanded(k) for k in lines} == lines
+    rng, parts = random.Random(2), " ".join(lines).split()
+    more = [" ".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(60)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(more)), (3, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    clean = B.hygiene(spark.createDataFrame([(d, i, "paragraph", x, 0, None, None, None) for d, t in docs for i, x in enumerate(t.split("\n"))], BLOCK)).collect()
+    got = [(r["doc_id"], r["pos"], r["text"]) for r in QUERIES["expand_blocks"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((r["doc_id"], r["pos"], _expanded(r["text"])) for r in clean) and len(got) == 66
