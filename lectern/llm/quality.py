@@ -10,8 +10,10 @@ A document is kept unless a base rule fails it (fewer than 10 words, or more tha
 its score is below ``KEEP``.  Everything per document happens in one scan, without a shuffle; the model is some KB.
 
 Defined cases: null text counts as no words and fails the base rule; null doc_id and repeated rows are scored like any
-other; with no labels, or labels of one class only, the base rules alone decide; an empty table gives an empty result;
-other columns are ignored or, in the filter, kept.
+other; a doc_id labelled twice counts with its lower label, one that repeats in documents counts once in the fit; ties of a
+split go to the first feature and edge; very long texts are read whole, one at a time; with no labels, or labels of one
+class only, the base rules alone decide; an empty table gives an empty result; other columns are ignored or, in the
+filter, kept.
 """
 
 from __future__ import annotations
@@ -167,11 +169,8 @@ def train(x: np.ndarray, y: np.ndarray, monotone=MONOTONE, trees: int = TREES) -
 
 def _stats(batches):
     for b in batches:
-        ids, feats = [], []
-        for i, t in zip(b["doc_id"], b["text"].cast(pa.binary()), strict=True):
-            ids.append(i)
-            feats.append(statistics(t.as_py() or b"")[1])
-        yield pa.RecordBatch.from_arrays([b["quality"], pa.array(feats, pa.list_(pa.float64()))], ["quality", "x"])
+        feats = [statistics(t.as_py() or b"")[1] for t in b["text"].cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array(feats, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest | None:
@@ -179,7 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fores
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    data = rows.mapInArrow(_stats, "quality int, x array<double>").orderBy("quality", "x").limit(max_train).collect()
+    # One row a document: where a doc_id repeats, the least features count, so no label weighs more than another.
+    data = rows.mapInArrow(_stats, "doc_id long, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r"))
+    data = sorted(data.select("r.quality", "r.x").collect())
     if not data:
         return None
     return train(np.array([r["x"] for r in data]), np.array([float(r["quality"] > 0) for r in data]))
