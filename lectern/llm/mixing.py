@@ -10,9 +10,14 @@ rows is spread over many partitions; prefix sums are local sums plus partition s
 reaches the driver.  The outcome per source is a cut-off key, so texts are never shuffled: it is applied by a
 broadcast of the source table (below a checked bound, a join beyond it).
 
+The order is total.  Rows equal in (doc_id, source, text) share a key; where the cut falls among them, so many of them go
+in as fill the rest best, and which is settled by a number among the rows of that one key (a window over those rows only,
+ordered by their other columns; rows equal in all columns are alike, so any of them may be the one).
+
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; null or
-repeated doc_id is allowed, and rows equal in (doc_id, source, text) share their key, so they go in or stay out
-together; a source of size 0 has target 0; an empty table gives an empty result; other columns pass through.
+repeated doc_id is allowed; ties of keys of different rows (64-bit hashes) count as equal rows; very long texts are only
+counted, in the JVM; a source of size 0 has target 0; an empty table gives an empty result; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -79,7 +84,12 @@ def _local_sums(batches):
 
 
 def plan(docs: DataFrame, weight=None) -> tuple[DataFrame, DataFrame, int]:
-    """(narrow rows: doc_id, source, size, mix_key; sources: source, source_size, target, epochs, cutoff; how many sources)."""
+    """(narrow rows: doc_id, source, size, mix_key; sources: source, source_size, target, epochs, cutoff, tied; how many sources)."""
+    return _plan(docs, weight)[:3]
+
+
+def _plan(docs: DataFrame, weight=None) -> tuple[DataFrame, DataFrame, int, bool]:
+    """As ``plan``; last, whether a cut falls among rows of one key."""
     spark = docs.sparkSession
     text = F.col("text")
     narrow = docs.select("doc_id", "source", n_words(text).alias("size"), _key(text, quality_weight(text) if weight is None else weight).alias("mix_key"))
@@ -104,35 +114,52 @@ def plan(docs: DataFrame, weight=None) -> tuple[DataFrame, DataFrame, int]:
     few = small(sources, len(rows))
     # The boundary document goes in if the target lies past its midpoint.
     inside = placed.join(few, F.col("src").eqNullSafe(F.col("source"))).where((2 * F.col("cum") - F.col("size") <= 2 * rest) & (rest > 0))
-    cuts = {r["src"]: r["cutoff"] for r in inside.groupBy("src").agg(F.max("mix_key").alias("cutoff")).collect()}
-    out = spark.createDataFrame([(*r, cuts.get(r[0])) for r in rows], "source string, source_size long, target double, epochs int, cutoff double")
-    return narrow, out, len(rows)
+    last = inside.groupBy("src").agg(F.max(F.struct("mix_key", "cum")).alias("x")).select("src", "x.mix_key", "x.cum").collect()
+    cuts = {r["src"]: (r["mix_key"], r["cum"]) for r in last}
+    # Rows that share the cut-off key go in by number: as many as lie up to the cut.
+    at = spark.createDataFrame([(s, *cuts.get(s, (None, None))) for s, *_ in rows], "s string, k double, c long")
+    ties = placed.join(small(at, len(rows)), F.col("src").eqNullSafe(F.col("s")) & (F.col("mix_key") == F.col("k")))
+    tied = {r["src"]: (r["n"], r["of"]) for r in ties.groupBy("src").agg(F.sum((F.col("cum") <= F.col("c")).cast("int")).alias("n"), F.count("*").alias("of")).collect()}
+    out = spark.createDataFrame([(*r, cuts.get(r[0], (None,))[0], tied.get(r[0], (0,))[0]) for r in rows], "source string, source_size long, target double, epochs int, cutoff double, tied long")
+    return narrow, out, len(rows), any(n < of for n, of in tied.values())
 
 
 def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_SOURCES else df
 
 
-def copies(key, epochs, cutoff):
-    """How often a document is taken."""
-    return (epochs + F.when(cutoff.isNotNull() & (key <= cutoff), 1).otherwise(0)).cast("int")
+def copies(key, epochs, cutoff, number, tied):
+    """How often a document is taken: once more before the cut-off key, and at it for the first ``tied`` rows."""
+    more = cutoff.isNotNull() & ((key < cutoff) | ((key == cutoff) & (number <= tied)))
+    return (epochs + F.when(more, 1).otherwise(0)).cast("int")
+
+
+def numbered(rows: DataFrame, ties: bool, key: str, cutoff: str, source: str, order) -> DataFrame:
+    """``rows`` with __mix_no: the number among the rows of a source that stand at its cut-off key, else 1.  Without ties all of these go in."""
+    if not ties:
+        return rows.withColumn("__mix_no", F.lit(1).cast("long"))
+    at = F.col(key).eqNullSafe(F.col(cutoff)) & F.col(key).isNotNull()
+    no = F.row_number().over(Window.partitionBy(source).orderBy(order)).cast("long")
+    return rows.where(~at).withColumn("__mix_no", F.lit(1).cast("long")).unionByName(rows.where(at).withColumn("__mix_no", no))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: every document's row as often as it is taken, with the columns it came with."""
-    _, sources, n = plan(docs)
+    _, sources, n, ties = _plan(docs)
     src = small(sources.select(*(F.col(c).alias(f"__mix_{c}") for c in sources.columns)), n)
     names = docs.columns
     text = F.col("text")
     keyed = docs.withColumn("__mix_key", _key(text, quality_weight(text))).withColumn("__mix_n", n_words(text))
-    taken = keyed.join(src, F.col("source").eqNullSafe(F.col("__mix_source")))
-    times = copies(F.col("__mix_key"), F.col("__mix_epochs"), F.col("__mix_cutoff"))
-    taken = taken.where(F.col("__mix_n") > 0).withColumn("__mix_times", times).where(F.col("__mix_times") > 0)
+    taken = keyed.join(src, F.col("source").eqNullSafe(F.col("__mix_source"))).where(F.col("__mix_n") > 0)
+    taken = numbered(taken, ties, "__mix_key", "__mix_cutoff", "__mix_source", F.xxhash64(*(F.col(f"`{c}`") for c in names)))
+    times = copies(F.col("__mix_key"), F.col("__mix_epochs"), F.col("__mix_cutoff"), F.col("__mix_no"), F.col("__mix_tied"))
+    taken = taken.withColumn("__mix_times", times).where(F.col("__mix_times") > 0)
     return taken.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*names)
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
-    narrow, sources, n = plan(table(spark, sf_dir, "documents"))
+    narrow, sources, n, ties = _plan(table(spark, sf_dir, "documents"))
     src = small(sources.withColumnRenamed("source", "src"), n)
-    joined = narrow.join(src, F.col("source").eqNullSafe(F.col("src")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("mix_key"), F.col("epochs"), F.col("cutoff"))).cast("long").alias("taken"), "source")
+    joined = numbered(narrow.join(src, F.col("source").eqNullSafe(F.col("src"))), ties, "mix_key", "cutoff", "src", F.col("doc_id"))
+    times = copies(F.col("mix_key"), F.col("epochs"), F.col("cutoff"), F.col("__mix_no"), F.col("tied"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), "source")
