@@ -2,7 +2,8 @@
 
 For each language a suffix automaton (all factors of a reference text) is built from labelled text.  A document is
 cross-parsed against it: from each place the longest match is one phrase, the next phrase starts at the character that
-broke it.  The language that needs the fewest phrases per character wins.
+broke it.  Phrases are normalised by the language's reference: a phrase costs log2 of its length, the bits that name a
+place in it.  The language of the least cost wins.
 
 Reference text is a bounded sample, at most ``REFERENCE_CHARS`` characters a language, from documents chosen by hash
 among those whose crc32(doc_id) mod 5 is not 0.  Whole texts are scored.  Letters are lower-cased and runs of other
@@ -12,8 +13,10 @@ Every character of the reference texts has its own code; one that a language's r
 The automata are sparse transition tables, whose rows lie over each other in one array, so their size goes with the
 reference text and not with the number of letters.  A batch is parsed in lockstep: texts are cut into rows of ``STRIDE``
 characters, all rows step together through one table, so the work is a few array operations per character whatever the
-text lengths.  (A row starts a phrase, for every language alike.)  One scan, no shuffle; the reference text of some KB
-is broadcast and each worker builds its tables once.
+text lengths.  The count is that of the whole text's parse: a row is parsed as if a phrase began at its start, and then
+again from the state in which the row before it really ended, until both parses are in the same state (after some
+phrases), from where on they are one.  Portions of ``BATCH`` characters bound the memory; one longer text is one portion.
+One scan, no shuffle; the reference text of some KB is broadcast and each worker builds its tables once.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; null or repeated doc_id is scored like any
 other, null counting as crc32 of the empty text; with no labelled text every prediction is ``und``; ties go to the first
@@ -33,6 +36,7 @@ from lectern.llm.common import table
 
 REFERENCE_CHARS = 30_000
 STRIDE = 256
+BATCH = 2_000_000
 FOLDS = 5
 _TABLES: dict[str, tuple] = {}
 
@@ -98,21 +102,56 @@ class Automaton:
             filled.update(at + c for c in row)
         return offsets
 
-    def phrases(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each row; rows are sorted by falling length, ``grid`` is column-major over rows."""
-        state = np.full(grid.shape[1], self.root, np.int32)
-        count = np.zeros(grid.shape[1], np.int32)
+    def phrases(self, grid: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Breaks in each row, one more in a text's first; rows are sorted by falling length, ``grid`` is column-major over rows.
+
+        ``before``: the row that precedes each one in its text, -1 for a first row (all rows are, where it isn't given).
+        """
+        k = grid.shape[1]
+        before = np.full(k, -1) if before is None else before
+        path, broken = np.empty(grid.shape, np.int32), np.zeros(grid.shape, bool)
+        state = np.full(k, self.root, np.int32)
         live = np.searchsorted(-lengths, -np.arange(len(grid)), "left")
         for step, c in enumerate(grid):
-            k = live[step]
-            if not k:
+            n = live[step]
+            if not n:
+                break
+            broken[step, :n], state[:n] = self._step(state[:n], c[:n])
+            path[step] = state
+        count = broken.sum(0)
+        end, start = state, np.full(k, self.root, np.int32)
+        todo = np.flatnonzero(before >= 0)
+        while len(todo := todo[end[before[todo]] != start[todo]]):
+            start[todo] = end[before[todo]]
+            count[todo], end[todo] = self._again(todo, start[todo], grid, lengths, path, broken)
+            todo = np.flatnonzero(before >= 0)
+        return count + ((before < 0) & (lengths > 0))
+
+    def _step(self, state, c):
+        at = state + c
+        broke = self.owner[at] != state
+        return broke, np.where(broke, self.start[c], self.to[at])
+
+    def _again(self, rows, state, grid, lengths, path, broken):
+        """Breaks and last states of rows that start in the given states; their paths are set right as far as they differ."""
+        active = np.arange(len(rows))
+        for step in range(len(grid)):
+            active = active[lengths[rows[active]] > step]
+            if not len(active):
                 break
-            c = c[:k]
-            at = state[:k] + c
-            broke = self.owner[at] != state[:k]
-            count[:k] += broke
-            state[:k] = np.where(broke, self.start[c], self.to[at])
-        return count + (lengths > 0)
+            at = rows[active]
+            broken[step, at], now = self._step(state[active], grid[step, at])
+            state[active] = now
+            same = path[step, at] == now
+            path[step, at] = now
+            active = active[~same]
+        last = np.maximum(lengths[rows] - 1, 0)
+        return broken[:, rows].sum(0), path[last, rows]
+
+
+def phrase_cost(reference: str) -> float:
+    """Bits that name a place in a reference."""
+    return float(np.log2(len(reference) + 1))
 
 
 def models(reference: dict[str, str]) -> tuple[list[str], np.ndarray, list[Automaton]]:
@@ -160,35 +199,61 @@ def encode(text: bytes, codes: np.ndarray) -> tuple[np.ndarray, bool]:
     return codes[points[:-1] if points[-1] == 32 else points], True
 
 
-def predict(texts: list[bytes | None], reference: dict[str, str]) -> tuple[list[str], np.ndarray]:
-    langs, codes, automata = models(reference)
-    rows, owner, sizes = [], [], np.zeros(len(texts), np.int64)
-    lettered = np.zeros(len(texts), bool)
-    for i, t in enumerate(texts):
-        c, lettered[i] = encode(t or b"", codes)
-        sizes[i] = len(c)
+def count_phrases(coded: list[np.ndarray], automata: list[Automaton]) -> np.ndarray:
+    """Phrases of each text (rows) against each automaton (columns)."""
+    total = np.zeros((len(coded), len(automata)), np.int64)
+    rows, owner, before = [], [], []
+    for i, c in enumerate(coded):
         for at in range(0, len(c), STRIDE):
+            before.append(len(rows) - 1 if at else -1)
             rows.append(c[at : at + STRIDE])
             owner.append(i)
-    names, score = ["und"] * len(texts), np.zeros(len(texts))
-    if not langs or not rows:
-        return names, score
+    if not rows:
+        return total
     lengths = np.array([len(r) for r in rows])
     order = np.argsort(-lengths, kind="stable")
-    grid = np.zeros((STRIDE, len(rows)), codes.dtype)
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    grid = np.zeros((STRIDE, len(rows)), coded[0].dtype)
     for to, k in enumerate(order):
         grid[: lengths[k], to] = rows[k]
-    owner = np.array(owner)[order]
-    total = np.stack([np.bincount(owner, a.phrases(grid, lengths[order]), len(texts)) for a in automata], 1)
-    best = total.argmin(1)
-    least = np.sort(total, 1)
-    second = least[:, 1] if len(langs) > 1 else np.maximum(sizes, 1)
+    before = np.array(before)[order]
+    before = np.where(before >= 0, place[before], -1)
+    for j, a in enumerate(automata):
+        total[:, j] = np.bincount(np.array(owner)[order], a.phrases(grid, lengths[order], before), len(coded))
+    return total
+
+
+def predict(texts: list[bytes | None], reference: dict[str, str]) -> tuple[list[str], np.ndarray]:
+    langs, codes, automata = models(reference)
+    coded, lettered = [], np.zeros(len(texts), bool)
+    for i, t in enumerate(texts):
+        c, lettered[i] = encode(t or b"", codes)
+        coded.append(c)
+    names, score = ["und"] * len(texts), np.zeros(len(texts))
+    if not langs or not lettered.any():
+        return names, score
+    total = np.concatenate([count_phrases(coded[a:b], automata) for a, b in _portions([len(c) for c in coded])])
+    cost = total * np.array([phrase_cost(reference[lang]) for lang in langs])
+    best, least = cost.argmin(1), np.sort(cost, 1)
+    second = least[:, 1] if len(langs) > 1 else np.array([max(len(c), 1) for c in coded]) * phrase_cost(reference[langs[0]])
     for i in np.flatnonzero(lettered):
         names[i] = langs[best[i]]
         score[i] = min(1.0, max(0.0, 1 - least[i, 0] / max(second[i], 1)))
     return names, score
 
 
+def _portions(sizes: list[int]):
+    """(from, to) of neighbouring texts that hold at most ``BATCH`` characters together, or one text."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held + n > BATCH and i > start:
+            yield start, i
+            start, held = i, 0
+        held += n
+    yield start, len(sizes)
+
+
 def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS)) == 0
 
