@@ -21,14 +21,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Are these stars: no node with two parents, or with a parent and a child?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg((F.sum("up") + F.max("down")).alias("k")).where("k > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component, for every node that isn't its own root.  ``edges``: a, b long."""
     edges = cut(edges.where("a <> b").select("a", "b"), "edges")
-    mark = None
     while True:
         edges = cut(_small_star(_large_star(edges)), "stars")
-        # Count and an order-free sum that can't overflow.
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if new == mark:
+        if _settled(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = new

@@ -8,19 +8,26 @@ any other and windows of the triangle inequality keep everything.  So the region
    of all shingles.  Two linked sets share a prefix shingle, so this replication is lossless; a region is a run of sets
    that share one.  The order puts shingles of crowded buckets last (counts over all documents in a table of fixed size),
    which keeps regions small.  The order only decides the work; any order gives the same links.
-3. Regions of up to ``REGION`` sets are joined within.  In a larger one the smallest sid is the pivot; regions with the
-   same pivot are its cell.  Each member's exact distance to the pivot is found, one pair per member; members within 0.25
-   of it are one component.
-4. Recursion: what lies outside a cell's largest component is tried against a few more pivots of that component a round,
-   while rounds still absorb much.  The rest meets, block by block, the blocks inside the triangle window
-   ``|d(x, p) - d(y, p)| <= 0.25``.  Small regions are settled likewise: each set against one partner first, then only
-   pairs between different components.
-5. Candidate pairs meet the size bound, then a parity bitmap (its Hamming distance never exceeds the symmetric
-   difference, so no link is lost), then the exact intersection of the sets.
+3. A region is its list of members, one row a member; equal lists are one region.  Pairs are never rows here.  A member of
+   a small region goes if no other one passes the size bound and the positional bound with it: two linked sets that share
+   this shingle first share at most what is left of either, and that is 3/7 of both sizes or more.
+4. Regions of up to ``REGION`` sets are joined within one task, where each member carries a short parity bitmap (its
+   Hamming distance never exceeds the symmetric difference, so no link is lost).  Only the edges of a spanning forest of
+   the pairs that pass size bound and bitmap come out, at most one a member, and are measured exactly.  A region all of whose
+   edges are links, or join what is joined already, is settled: any other pair of it that could link is in one component.
+   The few other regions give all their passing pairs between different components.
+5. In a larger region the smallest sid is the pivot; regions with the same pivot are its cell.  Each member's exact
+   distance to the pivot is found, one pair per member; members within 0.25 of it are one component.  Recursion: what lies
+   outside a cell's largest component is tried against a few more pivots of that component a round, while rounds still
+   absorb much.  The rest meets, block by block, the blocks inside the triangle window ``|d(x, p) - d(y, p)| <= 0.25``.
+6. Every link is decided by the exact intersection of two sets of 64-bit shingle hashes.  Sets are told apart by 128 bits:
+   a ``sid`` is the low half of the hash of a set, and of its high half where two sets share the low one.
 
 Defined cases: null or wordless text has an empty set, links with nothing and is its own component; a text of fewer than
 five words is one shingle; a null doc_id takes part, and its component's id is the smallest non-null one (null if
-there is none); repeated rows are equal sets; an empty table gives an empty result; other columns are ignored.
+there is none); repeated rows are equal sets; ties don't occur, as a component is named by its smallest id; very long
+texts are read whole, in portions, and carry bitmaps of at most ``SHORT_BITS`` through regions; an empty table gives an
+empty result; other columns are ignored, or kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,27 +39,42 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lectern.llm.common import WordHashes, cut, portions, shingle_set, table, trim
+from lectern.llm.common import WordHashes, cut, mix64, portions, shingle_set, table, trim
 from lectern.llm.components import components
 
 WIDTH = 5
 #: Sets in a region that is joined without a pivot.
 REGION = 64
 SKETCH_BITS = 21
+#: Buckets of the bitmaps that go through regions; the full ones of longer sets are looked up by pair.
+SHORT_BITS = 4096
 #: Pivots a round; members of a block; rings of the distance to a pivot.
 PIVOTS, BLOCK, RINGS = 8, 256, 16
 #: Document ids up to which a list of them is broadcast (8 bytes each).
 BROADCAST_IDS = 200_000
-_META = "kind int, doc_id long, n int, sid long, bits binary"
+_META = "kind int, doc_id long, th long, n int, sid long, high long, short binary, bits binary"
 
 
 def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def set_id(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def set_ids(s: np.ndarray) -> tuple[int, int]:
+    """Both halves of the hash of a set."""
+    x = xxhash.xxh3_128_intdigest(s.tobytes())
+    return _signed(x & ((1 << 64) - 1)), _signed(x >> 64)
+
+
+def set_id(s: np.ndarray, shared: frozenset = frozenset()) -> int:
+    """The low half; the high one where different sets share the low one."""
+    low, high = set_ids(s)
+    return high if low in shared else low
 
 
 def parity_bits(s: np.ndarray) -> bytes:
@@ -72,6 +94,14 @@ def may_link(na: int, a: bytes, nb: int, b: bytes) -> bool:
     return 7 * (x ^ int.from_bytes(b, "little")).bit_count() <= na + nb
 
 
+def shorten(bits: bytes) -> bytes:
+    """A bitmap folded to at most ``SHORT_BITS`` buckets."""
+    while len(bits) * 8 > SHORT_BITS:
+        x = np.frombuffer(bits, np.uint8)
+        bits = (x[: len(x) // 2] ^ x[len(x) // 2 :]).tobytes()
+    return bits
+
+
 def linked(na: int, nb: int, common: int) -> bool:
     return 100 * common >= 75 * (na + nb - common)
 
@@ -80,21 +110,27 @@ def _describe(batches):
     """Per document its size, sid and bitmap; last, the task's table of bucket counts."""
     memory, table_ = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
     shift = np.uint64(64 - SKETCH_BITS)
+    names = [f.split()[0] for f in _META.split(", ")]
     for b, texts in portions(batches):
-        ids, ns, sids, bits, hashes = b["doc_id"], [], [], [], []
+        ns, lows, highs, shorts, fulls, hashes = [], [], [], [], [], []
         for t in texts:
             s = shingle_set(t, memory, WIDTH)
+            low, high = set_ids(s) if len(s) else (0, 0)
+            full = parity_bits(s) if len(s) else b""
             ns.append(len(s))
-            sids.append(set_id(s) if len(s) else 0)
-            bits.append(parity_bits(s) if len(s) else b"")
+            lows.append(low)
+            highs.append(high)
+            shorts.append(shorten(full))
+            fulls.append(full if len(full) * 8 > SHORT_BITS else None)
             hashes.append(s)
         if ns:
             at, k = np.unique((np.concatenate(hashes) >> shift).astype(np.uint32), return_counts=True)
             table_[at] += k.astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), ids, pa.array(ns, pa.int32()), pa.array(sids, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), b["doc_id"], b["th"], pa.array(ns, pa.int32()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(shorts, pa.binary()), pa.array(fulls, pa.binary())], names)
     if table_.any():
         blob = zlib.compress(np.minimum(table_, 0xFF).astype(np.uint8).tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
+        none = pa.array([None], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, none, pa.array([0], pa.int32()), none, none, pa.array([blob], pa.binary()), pa.array([None], pa.binary())], names)
     trim()
 
 
@@ -104,27 +140,27 @@ def _add_tables(last: bool):
     def run(batches):
         total = None
         for b in batches:
-            for blob in b["bits"]:
+            for blob in b["short"]:
                 raw = zlib.decompress(blob.as_buffer())
                 part = np.frombuffer(raw, np.uint8 if len(raw) == 1 << SKETCH_BITS else np.uint32)
                 total = part.astype(np.uint32) if total is None else total + part
         if total is not None:
             mean = float(np.median(total))
             out = np.packbits(total > mean + 6 * mean**0.5 + 32).tobytes() if last else zlib.compress(total.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["short"])
 
     return run
 
 
 def crowded_buckets(meta: DataFrame) -> bytes:
     """Bits of the buckets whose count stands out.  The table has a fixed size; parts are added on executors, 16 at a time."""
-    parts = meta.where("kind = 1").select("bits")
+    parts = meta.where("kind = 1").select("short")
     n = parts.count()
     while n > 16:
         n = -(-n // 16)
-        parts = parts.repartition(n).mapInArrow(_add_tables(False), "bits binary")
-    rows = parts.repartition(1).mapInArrow(_add_tables(True), "bits binary").collect()
-    return bytes(rows[0]["bits"]) if rows else bytes(1 << (SKETCH_BITS - 3))
+        parts = parts.repartition(n).mapInArrow(_add_tables(False), "short binary")
+    rows = parts.repartition(1).mapInArrow(_add_tables(True), "short binary").collect()
+    return bytes(rows[0]["short"]) if rows else bytes(1 << (SKETCH_BITS - 3))
 
 
 def prefix(s: np.ndarray, crowded: np.ndarray) -> np.ndarray:
@@ -134,8 +170,8 @@ def prefix(s: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     return cold[:k] if len(cold) >= k else np.concatenate([cold, s[hot][: k - len(cold)]])
 
 
-def _regions_of(docs: DataFrame, crowded: bytes) -> DataFrame:
-    """h, sid, n: a row per prefix shingle of each set."""
+def _regions_of(docs: DataFrame, crowded: bytes, shared: frozenset) -> DataFrame:
+    """h, sid, n, at: a row per prefix shingle of each set, with its place in the order of the set."""
     packed = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches):
@@ -145,40 +181,54 @@ def _regions_of(docs: DataFrame, crowded: bytes) -> DataFrame:
             hs, sids, ns = [np.empty(0, np.uint64)], [], []
             for t in texts:
                 s = shingle_set(t, memory, WIDTH)
-                if len(s) and (sid := set_id(s)) not in seen:
+                if len(s) and (sid := set_id(s, shared)) not in seen:
                     seen.add(sid)
                     hs.append(prefix(s, order))
                     sids.append(sid)
                     ns.append(len(s))
-            sizes = [len(h) for h in hs[1:]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes))], ["h", "sid", "n"]
-            )
+            sizes = [len(h) for h in hs]
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+            cols = [np.concatenate(hs).view(np.int64), np.repeat(np.array(sids, np.int64), sizes[1:]), np.repeat(np.array(ns, np.int32), sizes[1:]), place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "sid", "n", "at"])
 
-    return docs.select("text").mapInArrow(run, "h long, sid long, n int")
+    return docs.select("text").mapInArrow(run, "h long, sid long, n int, at int")
 
 
-_CANDIDATES = "pivot boolean, a long, b long, n int"
-_NAMES = ["pivot", "a", "b", "n"]
+_MEMBERS = "large boolean, rid long, sid long, n int"
 
 
-class _Found:
-    """Distinct pairs of small regions and distinct (pivot, member) of large ones, given out in bounded parts."""
+class _Lists:
+    """Member rows of regions, equal lists once, given out in bounded parts.  A region up to ``REGION`` is named by its list, a larger one by its pivot."""
 
     def __init__(self):
         self.parts, self.held = {False: [], True: []}, 0
 
-    def pairs(self, sid, n, i, j):
-        fits = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
-        self.add(False, sid[i[fits]], sid[j[fits]], n[j[fits]])
-
-    def members(self, pivot, sid, n):
+    def small(self, sid, n, place, starts, k):
+        """Regions of ``k`` rows each.  A member stays if another one passes the size and the positional bound with it."""
+        for some in np.array_split(starts, -(-len(starts) * k * k // 4_000_000)):
+            at = some[:, None] + np.arange(k)
+            size, rest = n[at], n[at] - place[at]
+            # If this is the first shingle that two sets share, they share no more than what is left of either.
+            need = size[:, :, None] + size[:, None, :]
+            pairs = 7 * np.minimum(rest[:, :, None], rest[:, None, :]) >= 3 * need
+            pairs &= 7 * np.minimum(size[:, :, None], size[:, None, :]) >= 3 * need
+            pairs[:, np.arange(k), np.arange(k)] = False
+            stays = pairs.any(2)
+            # The list's name: members that go count as none.
+            rid = np.zeros(len(some), np.uint64)
+            for j in range(k):
+                rid = np.where(stays[:, j], mix64(rid * np.uint64(0x9E3779B97F4A7C15) + sid[at[:, j]].astype(np.uint64)), rid)
+            rid, first = np.unique(rid.view(np.int64), return_index=True)
+            stays, at = stays[first], at[first][stays[first]]
+            self.add(False, np.repeat(rid, stays.sum(1)), sid[at], n[at])
+
+    def large(self, pivot, sid, n):
         self.add(True, np.full(len(sid), pivot), sid, n)
 
-    def add(self, kind, a, b, n):
-        if len(a):
-            self.parts[kind].append(np.column_stack([a, b, n]))
-            self.held += len(a)
+    def add(self, kind, rid, sid, n):
+        if len(rid):
+            self.parts[kind].append(np.column_stack([rid, sid, n]))
+            self.held += len(rid)
 
     def out(self, least: int = 0):
         if self.held <= least:
@@ -187,50 +237,51 @@ class _Found:
             rows = np.unique(np.concatenate(parts), axis=0) if parts else np.empty((0, 3), np.int64)
             for at in range(0, len(rows), 50_000):
                 r = rows[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), kind)), pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(r[:, 2].astype(np.int32))], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), kind)), pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(r[:, 2].astype(np.int32))], ["large", "rid", "sid", "n"])
         self.parts, self.held = {False: [], True: []}, 0
 
 
-def _join_regions(batches):
-    """Rows sorted by (h, sid).  Small regions give their pairs, large ones (pivot, member) for each member."""
-    found = _Found()
-    keep = tuple(np.empty(0, np.int64) for _ in range(3))
+def _list_regions(batches):
+    """Rows sorted by (h, sid) give the members of regions of two sets or more."""
+    found, names = _Lists(), ("h", "sid", "n", "at")
+    keep = tuple(np.empty(0, np.int64) for _ in names)
     large = None  # (h, pivot) of a large region whose members are passing through
 
-    def settle(h, sid, n):
+    def settle(h, sid, n, place):
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(h)]]))
-        two = starts[lengths == 2]
-        found.pairs(sid, n, two, two + 1)
-        for at, k in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-            if k > REGION:
-                found.members(sid[at], sid[at : at + k], n[at : at + k])
+        for k in np.unique(lengths[lengths > 1]).tolist():
+            if k <= REGION:
+                found.small(sid, n, place, starts[lengths == k], k)
             else:
-                i, j = np.triu_indices(k, 1)
-                found.pairs(sid, n, at + i, at + j)
+                for at in starts[lengths == k].tolist():
+                    found.large(sid[at], sid[at : at + k], n[at : at + k])
 
     for b in batches:
-        h, sid, n = (np.concatenate([old, b[c].to_numpy().astype(np.int64)]) for old, c in zip(keep, ("h", "sid", "n"), strict=True))
+        rows = tuple(np.concatenate([old, b[c].to_numpy().astype(np.int64)]) for old, c in zip(keep, names, strict=True))
+        h, sid = rows[:2]
         if not len(h):
             continue
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])
-        h, sid, n = h[new], sid[new], n[new]
+        rows = tuple(c[new] for c in rows)
+        h, sid, n, _ = rows
         if large:
             k = int(np.searchsorted(h, large[0], "right"))
-            found.members(large[1], sid[:k], n[:k])
+            found.large(large[1], sid[:k], n[:k])
             if k == len(h):  # the last row may come again
-                keep = (h[-1:], sid[-1:], n[-1:])
+                keep = tuple(c[-1:] for c in rows)
                 yield from found.out(500_000)
                 continue
-            h, sid, n, large = h[k:], sid[k:], n[k:], None
+            rows, large = tuple(c[k:] for c in rows), None
+            h, sid, n, _ = rows
         last = int(np.searchsorted(h, h[-1], "left"))
         if last:
-            settle(h[:last], sid[:last], n[:last])
+            settle(*(c[:last] for c in rows))
         if len(h) - last > REGION:
             large = (int(h[-1]), int(sid[last]))
-            found.members(large[1], sid[last:], n[last:])
+            found.large(large[1], sid[last:], n[last:])
             last = len(h) - 1
-        keep = (h[last:], sid[last:], n[last:])
+        keep = tuple(c[last:] for c in rows)
         yield from found.out(500_000)
     if len(keep[0]) and not large:
         settle(*keep)
@@ -238,6 +289,99 @@ def _join_regions(batches):
     trim()
 
 
+def _fold(bits: bytes) -> dict[int, int]:
+    """A parity bitmap as integers of its own size and of half of it, by size in bits."""
+    x, size, out = int.from_bytes(bits, "little"), len(bits) * 8, {}
+    for _ in range(2):
+        out[size] = x
+        size >>= 1
+        x = (x & ((1 << size) - 1)) ^ (x >> size)
+    return out
+
+
+class _Member:
+    __slots__ = ("sid", "n", "folds", "root")
+
+    def __init__(self, sid, n, bits, root=None):
+        self.sid, self.n, self.folds, self.root = sid, n, _fold(bits), root
+
+    def near(self, other) -> bool:
+        """False only where the size bound or the bitmaps rule a link out."""
+        n, m = self.n, other.n
+        if 4 * n < 3 * m or 4 * m < 3 * n:
+            return False
+        k = min(max(self.folds), max(other.folds))
+        return 7 * (self.folds[k] ^ other.folds[k]).bit_count() <= n + m
+
+
+def _regions_in(batches, names):
+    """(rid, members) of rows sorted by rid."""
+    rid, held = None, []
+    for b in batches:
+        for r, *m in zip(b["rid"].to_pylist(), *(b[c].to_pylist() for c in names), strict=True):
+            if r != rid and held:
+                yield rid, held
+                held = []
+            rid = r
+            held.append(_Member(*m))
+    if held:
+        yield rid, held
+
+
+def spanning_forest(members: list[_Member]):
+    """Edges that join all members which a chain of passing pairs joins."""
+    left = list(members)
+    while left:
+        queue = [left.pop(0)]
+        while queue and left:
+            x, rest = queue.pop(), []
+            for y in left:
+                if x.near(y):
+                    queue.append(y)
+                    yield x, y
+                else:
+                    rest.append(y)
+            left = rest
+
+
+def _between_components(members: list[_Member]):
+    for i, x in enumerate(members):
+        for y in members[i + 1 :]:
+            if x.root != y.root and x.near(y):
+                yield x, y
+
+
+_EDGES = "rid long, a long, b long, sure boolean"
+
+
+def _edges_within(names, chosen, once: bool):
+    """Edges of the regions; ``sure`` where the bitmaps compared were the full ones.  ``once``: a pair met again in a later region isn't repeated (rid is then that of one of them)."""
+
+    def run(batches):
+        out, seen = [], set()
+
+        def flush():
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], ["rid", "a", "b", "sure"])
+
+        for rid, members in _regions_in(batches, names):
+            for x, y in chosen(members):
+                pair = (x.sid, y.sid) if x.sid < y.sid else (y.sid, x.sid)
+                if once:
+                    if pair in seen:
+                        continue
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(pair)
+                out.append((rid, *pair, 2 * max(x.n, y.n) <= SHORT_BITS))
+            if len(out) > 50_000:
+                yield flush()
+                out = []
+        yield flush()
+
+    return run
+
+
 def _filter_bits(batches):
     for b in batches:
         cols = [b[c].to_pylist() for c in ("na", "bits_a", "nb", "bits_b")]
@@ -254,15 +398,18 @@ def _intersect(batches):
         yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
 
 
-def _sets(batches):
-    memory = WordHashes()
-    for _, texts in portions(batches):
-        seen = {}
-        for t in texts:
-            s = shingle_set(t, memory, WIDTH)
-            if len(s):
-                seen.setdefault(set_id(s), s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.binary())], ["sid", "shingles"])
+def _sets(shared: frozenset):
+    def run(batches):
+        memory = WordHashes()
+        for _, texts in portions(batches):
+            seen = {}
+            for t in texts:
+                s = shingle_set(t, memory, WIDTH)
+                if len(s):
+                    seen.setdefault(set_id(s, shared), s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.binary())], ["sid", "shingles"])
+
+    return run
 
 
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -277,31 +424,54 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the id list is broadcast only below a checked size."""
+def _by_ids(docs: DataFrame, ids: DataFrame, how: str, *names: str) -> DataFrame:
+    """Semi or anti join on columns; the list of keys is broadcast only below a checked size."""
     ids = cut(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
-    ids = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(F.col("__id")), how)
+    ids = ids.select(*(F.col(c).alias(f"__only_{i}") for i, c in enumerate(names)))
+    on = [docs[c].eqNullSafe(F.col(f"__only_{i}")) for i, c in enumerate(names)]
+    return docs.join(F.broadcast(ids) if few else ids, on, how)
 
 
 class _Corpus:
     def __init__(self, docs: DataFrame):
-        docs = docs.select("doc_id", "text")
+        docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
         meta = cut(docs.mapInArrow(_describe, _META), "sets")
-        self.docs, self.meta = docs, meta.where("kind = 0 and n > 0").select("doc_id", "n", "sid", "bits")
-        self.all = meta.where("kind = 0")
+        self.docs, rows = docs, meta.where("kind = 0")
+        twice = rows.where("n > 0").groupBy(F.col("sid").alias("low")).agg(F.min("high").alias("x"), F.max("high").alias("y")).where("x <> y")
+        # Of N sets about N * N / 2 ** 65 share a low half: a handful at most.
+        self.shared = frozenset(r["low"] for r in twice.select("low").collect())
+        if self.shared:
+            rows = rows.withColumn("sid", F.when(F.col("sid").isin(*self.shared), F.col("high")).otherwise(F.col("sid")))
+        self.all = rows.select("doc_id", "th", "n", "sid")
+        self.meta = rows.where("n > 0").select("doc_id", "th", "n", "sid", "short", F.coalesce("bits", "short").alias("bits"))
         self.crowded = crowded_buckets(meta)
-        self.nodes = self.meta.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+        self.nodes = self.meta.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "th")).alias("one"))
 
-    def candidates(self) -> DataFrame:
+    def regions(self) -> DataFrame:
+        """large, rid, sid, n: the members of each region."""
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = _regions_of(self.docs, self.crowded).repartition(parts, "h").sortWithinPartitions("h", "sid")
-        return cut(rows.mapInArrow(_join_regions, _CANDIDATES), "regions")
+        rows = _regions_of(self.docs, self.crowded, self.shared).repartition(parts, "h").sortWithinPartitions("h", "sid")
+        return cut(rows.mapInArrow(_list_regions, _MEMBERS).distinct(), "regions")
+
+    def edges(self, members: DataFrame, chosen, once: bool = False) -> DataFrame:
+        """rid, a, b, sure of what ``chosen`` takes of the pairs of each small region."""
+        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        short = self.meta.groupBy("sid").agg(F.first("short").alias("short"))
+        names = ["sid", "n", "short"] + ["root"] * ("root" in members.columns)
+        rows = members.join(short, "sid").select("rid", *names).repartition(parts, "rid").sortWithinPartitions("rid", "sid")
+        return rows.mapInArrow(_edges_within(names, chosen, once), _EDGES)
+
+    def passing(self, edges: DataFrame) -> DataFrame:
+        """Distinct (a, b), those compared by short bitmaps once more by the full ones."""
+        edges = edges.select("a", "b", "sure").distinct()
+        return edges.where("sure").select("a", "b").unionByName(self.near(edges.where("not sure").select("a", "b")))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs that the bitmaps don't rule out.  ``pairs``: a, b distinct."""
         pairs = cut(pairs.select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            return pairs
         bits = _only(self.meta, "sid", _ends(pairs)).groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
         one = bits.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
         two = bits.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
@@ -309,14 +479,17 @@ class _Corpus:
 
     def sets(self, sids: DataFrame) -> DataFrame:
         """sid, shingles of the given nodes, from one document of each."""
-        ids = self.nodes.join(sids, "sid", "left_semi").select("doc_id")
-        return cut(_by_ids(self.docs, ids, "left_semi").select("text").mapInArrow(_sets, "sid long, shingles binary"), "shingles")
+        ids = cut(self.nodes.join(sids, "sid", "left_semi").select("one.doc_id", "one.th"), "ids")
+        found = cut(_by_ids(self.docs, ids, "left_semi", "doc_id", "th").select("text").mapInArrow(_sets(self.shared), "sid long, shingles binary"), "shingles")
+        # Rows that repeat (doc_id, text) give a set again.
+        return found if found.count() <= ids.count() else cut(found.dropDuplicates(["sid"]), "shingles-once")
 
     @staticmethod
-    def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """a, b, na, nb, common: exact intersections."""
-        pairs = cut(pairs.select("a", "b"), "pairs")
-        sets = _only(sets, "sid", _ends(pairs))
+    def measure(pairs: DataFrame, sets: DataFrame, few: bool = True) -> DataFrame:
+        """a, b, na, nb, common: exact intersections.  ``few``: the pairs may need few of the sets."""
+        if few:
+            pairs = cut(pairs.select("a", "b"), "pairs")
+            sets = _only(sets, "sid", _ends(pairs))
         one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("set_a"))
         two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("set_b"))
         return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_intersect, "a long, b long, na long, nb long, common long")
@@ -325,44 +498,50 @@ class _Corpus:
 IS_LINK = "100 * common >= 75 * (na + nb - common)"
 
 
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    one = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    two = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def group(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per row of ``docs``."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n, sid, root, component_id, one row per row of ``docs``."""
     c = _Corpus(docs)
-    found = c.candidates()
-    small = cut(c.near(found.where("not pivot").select("a", "b").distinct()), "near")
-    # Regions with the same pivot are one cell: a pair that shares a region shares the cell.
-    cells = cut(found.where("pivot").select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "n").distinct(), "cells")
-    stars = cells.where("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
-    ends = [small.select(F.col(e).alias("sid")) for e in ("a", "b")]
-    sets = c.sets(ends[0].unionByName(ends[1]).unionByName(cells.select("sid")).distinct())
-
-    # One partner of each set first: the smallest, from either end.
-    both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partner = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    measured = cut(c.measure(partner.unionByName(stars).distinct(), sets), "measured")
+    regions = c.regions()
+    small = regions.where("not large").select("rid", "sid", "n")
+    # Large regions with the same pivot are one cell: a pair that shares a region shares the cell.
+    cells = regions.where("large").select(F.col("rid").alias("pivot"), "sid", "n")
+    stars = cells.where("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+
+    forest = cut(c.edges(small, spanning_forest), "forest")
+    tries = cut(c.passing(forest).unionByName(stars).distinct(), "tries")
+    sets = c.sets(_ends(tries).distinct().withColumnRenamed("a", "sid"))
+    measured = cut(c.measure(tries, sets, few=False), "measured")
     roots = components(measured.where(IS_LINK).select("a", "b"))
 
-    # Then what is left between components: pairs of small regions, and of large ones inside the pivot's window.
-    rest = _between(small, roots)
-    links = c.measure(rest, sets).where(IS_LINK).select("a", "b")
-    roots = components(links.unionByName(_edges(roots)))
-    roots, mixed = _absorb(c, cells, roots, sets)
-    if mixed is not None:
-        roots = components(_windows(c, mixed, measured, sets).unionByName(_edges(roots)))
+    # Regions with an edge that joined nothing: their other pairs between components.
+    open_ = cut(_rooted(forest, roots).where("root_a <> root_b").select("rid").distinct(), "open")
+    if not open_.isEmpty():
+        members = small.join(open_, "rid", "left_semi").join(roots, F.col("sid") == F.col("node"), "left").select("rid", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        rest = cut(c.passing(cut(c.edges(members, _between_components, once=True), "between")), "rest")
+        more = c.sets(_ends(rest).distinct().withColumnRenamed("a", "sid"))
+        links = c.measure(rest, more, few=False).where(IS_LINK).select("a", "b")
+        roots = components(links.unionByName(_edges(roots)))
+    if not cells.isEmpty():
+        roots, mixed = _absorb(c, cells, roots, sets)
+        if mixed is not None:
+            roots = components(_windows(c, mixed, measured, sets).unionByName(_edges(roots)))
 
     label = c.nodes.join(roots, c.nodes["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = label.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
-    label = label.join(least, "root", "left").select("sid", F.coalesce("least", "doc_id").alias("component_id"))
-    out = c.all.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(label, "sid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    label = label.join(least, "root", "left").select("sid", "root", F.coalesce("least", "doc_id").alias("component_id"))
+    return c.all.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(label, "sid", "left")
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per row of ``docs``."""
+    return labelled(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    one = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    two = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    joined = pairs.join(one, "a", "left").join(two, "b", "left")
+    return joined.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
 
 
 def _edges(roots: DataFrame) -> DataFrame:
@@ -396,16 +575,6 @@ def _absorb(c: _Corpus, cells: DataFrame, roots: DataFrame, sets: DataFrame) ->
         turn, last = turn + 1, work["pairs"]
 
 
-def _fold(bits: bytes) -> dict[int, int]:
-    """A parity bitmap as integers of its own size and of half of it, by size in bits."""
-    x, size, out = int.from_bytes(bits, "little"), len(bits) * 8, {}
-    for _ in range(2):
-        out[size] = x
-        size >>= 1
-        x = (x & ((1 << size) - 1)) ^ (x >> size)
-    return out
-
-
 def _compare_blocks(batches):
     """a, b of the block pairs' members that the size bound, the triangle window and the bitmaps leave."""
     for b in batches:
@@ -456,9 +625,27 @@ def _windows(c: _Corpus, members: DataFrame, measured: DataFrame, sets: DataFram
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest doc_id (rows that repeat it stay alike); all columns."""
-    losers = group(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return _by_ids(docs, losers, "left_anti")
+    """One row of each group: that of the smallest doc_id (null last), then of the smallest text hash; all columns.
+
+    Rows are told apart by (doc_id, text), so a null or reused doc_id hides none; of rows equal in both one stays.
+    Documents with an empty set are in no group and all stay.
+    """
+    rows = cut(labelled(docs).where("n > 0").select("root", "doc_id", "th"), "labels")
+    rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+    groups = rows.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("k")).where("k > 1").select("root", "best")
+    doubles = rows.join(groups, "root")
+    losers = doubles.where(~rank.eqNullSafe(F.col("best"))).select("doc_id", "th").distinct()
+    names = docs.columns
+    keyed = docs.withColumn("__row_th", F.xxhash64("text")).withColumn("__row_id", F.col("doc_id"))
+    left = _by_ids(keyed, losers.select(F.col("doc_id").alias("__row_id"), F.col("th").alias("__row_th")), "left_anti", "__row_id", "__row_th")
+    # Rows that repeat (doc_id, text): one of each stays.
+    again = cut(doubles.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("__row_id"), F.col("th").alias("__row_th")), "again")
+    if again.isEmpty():
+        return left.select(*names)
+    twice = _by_ids(left, again, "left_semi", "__row_id", "__row_th")
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in names))
+    one = twice.withColumn("__row_n", F.row_number().over(Window.partitionBy("__row_id", "__row_th").orderBy(whole))).where("__row_n = 1")
+    return _by_ids(left, again, "left_anti", "__row_id", "__row_th").select(*names).unionByName(one.select(*names))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
