@@ -23,14 +23,16 @@ def voices(spark: SparkSession) -> DataFrame:
 
 
 def resolve_voices(asked: DataFrame) -> DataFrame:
-    """(accent, gender[, voice]) with voice, or an error that names the nearest accent."""
+    """(accent, gender[, voice]) with chosen, or an error that names the nearest accent; an explicit voice wins, unchecked."""
     table = voices(asked.sparkSession)
+    asked = asked if "voice" in asked.columns else asked.withColumn("voice", F.lit(None).cast("string"))
     first = table.groupBy("accent", "gender").agg(F.min_by("id", "pref").alias("best"))
     near = F.create_map(*(F.lit(x) for kv in V.NEAREST.items() for x in kv))
     names = F.create_map(*(F.lit(x) for kv in V.ACCENTS.items() for x in kv))
     out = asked.join(F.broadcast(first), ["accent", "gender"], "left")
     missing = F.concat(F.lit("no "), F.coalesce(names[F.col("accent")], F.col("accent")), F.lit(" voice; nearest: "), F.coalesce(near[F.col("accent")], F.lit("us")))
-    return out.withColumn("error", F.when(F.col("best").isNull(), missing)).withColumnRenamed("best", "chosen")
+    out = out.withColumn("chosen", F.coalesce("voice", "best")).withColumn("error", F.when(F.col("chosen").isNull(), missing))
+    return out.drop("best")
 
 
 @F.pandas_udf(StringType())
@@ -64,10 +66,33 @@ def default_stem(title, path, url):
     return F.coalesce(*(F.when(slug(c) != "", slug(c)) for c in (title, name(path), tail)), F.lit(FALLBACK_STEM))
 
 
+#: Groups in which the rows of one stem are numbered, so that a stem many documents share is no single task.
+NUMBER_GROUPS = 64
+
+
 def unique_stems(df: DataFrame, stem: str, key: str) -> DataFrame:
-    """Derived names never clash: the second of a stem gets -2, and so on, in order of the key."""
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(key))
-    return df.withColumn("name", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("-"), n.cast("string"))))
+    """``df`` with name: derived names never clash.
+
+    Rows of a stem are ordered by (key modulo ``NUMBER_GROUPS``, key), ``key`` being an integer.  The first keeps the stem;
+    the others get the free suffixes -2, -3 ... in turn, where a suffix is free if the stem with it is no stem itself.
+    """
+    rows = df.withColumn("__g", F.coalesce(F.pmod(F.col(key), F.lit(NUMBER_GROUPS)), F.lit(0)).cast("int"))
+    part = Window.partitionBy(stem, "__g")
+    before = Window.partitionBy("__stem").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col(stem).alias("__stem"), "__g").agg(F.count("*").alias("n"))
+    starts = starts.select("__stem", F.col("__g").alias("__h"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    rows = rows.withColumn("__no", F.row_number().over(part.orderBy(key)))
+    rows = rows.join(starts, rows[stem].eqNullSafe(F.col("__stem")) & (F.col("__g") == F.col("__h"))).withColumn("__r", F.col("__start") + F.col("__no") - 1)
+    # The j-th taken suffix t of a stem lies before the r-th free one if t - 1 - j < r.
+    pattern = r"^(.*)-([1-9][0-9]{0,8})$"
+    taken = df.select(F.regexp_extract(stem, pattern, 1).alias("base"), F.regexp_extract(stem, pattern, 2).alias("t")).where("t <> '' and t <> '1'").distinct()
+    taken = taken.withColumn("t", F.col("t").cast("long"))
+    taken = taken.withColumn("at", F.col("t") - 1 - F.row_number().over(Window.partitionBy("base").orderBy("t")))
+    taken = taken.groupBy("base").agg(F.sort_array(F.collect_list("at")).alias("__taken"))
+    rows = rows.join(taken, rows[stem] == F.col("base"), "left")
+    skipped = F.size(F.filter(F.coalesce("__taken", F.array().cast("array<bigint>")), lambda at: at < F.col("__r")))
+    number = (F.col("__r") + 1 + skipped).cast("string")
+    return rows.withColumn("name", F.when(F.col("__r") == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("-"), number))).select(*df.columns, "name")
 
 
 def tags(title, author, url, path):

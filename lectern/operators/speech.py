@@ -71,15 +71,17 @@ def with_header(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def drop_title_echo(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """The first block goes if it is a heading whose tokens resemble the title's (ratio 0.8 or more)."""
-    first = Window.partitionBy("doc_id").orderBy("pos")
-    rows = blocks.withColumn("__first", F.row_number().over(first) == 1).join(documents.select("doc_id", F.col("title").alias("__title")), "doc_id", "left")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) == 1
+    rows = blocks.withColumn("__first", first).join(documents.select("doc_id", F.col("title").alias("__title")), "doc_id", "left")
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() >= 0.8 for x, y in zip(a, b, strict=True)], dtype=bool)
 
     ask = F.col("__first") & (F.col("kind") == "heading") & (F.coalesce("__title", F.lit("")) != "")
-    echo = similar(T.tokens(F.when(ask, F.col("text")).otherwise("a")), T.tokens(F.when(ask, F.col("__title")).otherwise("b"))) >= 0.8
+    # One pass: all but first headings send two empty lists.
+    none = F.array().cast("array<string>")
+    echo = similar(F.when(ask, T.tokens(F.col("text"))).otherwise(none), F.when(ask, T.tokens(F.col("__title"))).otherwise(none))
     return rows.where(~(ask & echo)).select(*blocks.columns)
 
 
@@ -171,16 +173,22 @@ def render(nodes: DataFrame, style: str, keys=("doc_id",)) -> DataFrame:
     return out.withColumn("text", T.strip(T.re_sub(F.col("text"), "  +", " ")))
 
 
-def runs(nodes: DataFrame) -> DataFrame:
-    """doc_id, run_id, text (rendered for silence), n_chars, pause_after_ms: what lies between two pauses."""
+def runs(nodes: DataFrame, style: str = "silence") -> DataFrame:
+    """doc_id, run_id, text (rendered), n_chars, pause_after_ms: what lies between two pauses."""
+    return _runs(nodes, style).drop("parts")
+
+
+def _runs(nodes: DataFrame, style: str) -> DataFrame:
+    """As ``runs``, with the nodes themselves as ``parts``."""
     seq = Window.partitionBy("doc_id").orderBy("seq")
     after = F.when(F.col("node") == "Pause", F.col("ms"))
     before = F.coalesce(F.sum(F.when(F.col("node") == "Pause", 1).otherwise(0)).over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = nodes.withColumn("run_id", before.cast("int")).withColumn("after", after)
-    ordered = F.array_sort(F.collect_list(F.when(piece("silence").isNotNull(), F.struct("seq", piece("silence").alias("p")))))
-    out = df.groupBy("doc_id", "run_id").agg(F.array_join(F.transform(ordered, lambda x: x["p"]), " ").alias("text"), F.coalesce(F.max("after"), F.lit(0)).alias("pause_after_ms"), F.max((F.col("node") != "Pause").cast("int")).alias("any"))
-    out = out.where("any = 1").withColumn("text", T.strip(T.re_sub(F.col("text"), "  +", " ")))
-    return out.select("doc_id", "run_id", "text", F.length("text").alias("n_chars"), "pause_after_ms")
+    spoken = F.when((F.col("node") != "Pause") & piece(style).isNotNull(), F.struct("seq", piece(style).alias("p"), "node", "text"))
+    out = df.groupBy("doc_id", "run_id").agg(F.array_sort(F.collect_list(spoken)).alias("parts"), F.coalesce(F.max("after"), F.lit(0)).alias("pause_after_ms"), F.max((F.col("node") != "Pause").cast("int")).alias("any"))
+    text = F.array_join(F.transform("parts", lambda x: x["p"]), " ")
+    out = out.where("any = 1").withColumn("text", T.strip(T.re_sub(text, "  +", " ")))
+    return out.select("doc_id", "run_id", "text", F.length("text").alias("n_chars"), "pause_after_ms", "parts")
 
 
 _NEVER = {a.lower() for a in V.NEVER_END}
@@ -192,60 +200,96 @@ def is_sentence_end(token: str) -> bool:
     return token.endswith(".") and token.lower() not in _NEVER and not re.search(r"\b[A-Z]\.$", token)
 
 
-def _cut_sentence(words: list[str], limit: int) -> list[str]:
-    """An over-long sentence at its last clause mark that fits, else its last word; a word that can't fit ends the cutting."""
-    out = []
-    while words and len(" ".join(words)) > limit:
-        used = clause = fit = 0
-        for i, w in enumerate(words, 1):
-            if used + len(w) > limit:
+def rendered(node: str, text: str, style: str) -> str:
+    """What a spoken node contributes to the text in the given style."""
+    if style == "ssml":
+        text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    if node != "Spell":
+        return text
+    if style == "ssml":
+        return f'<say-as interpret-as="characters">{text}</say-as>'
+    if style == "say":
+        return f"[[char LTRL]]{text}[[char NORM]]"
+    return ". ".join(c for c in text if not c.isspace()) + "."
+
+
+class _Sentence:
+    """Neighbouring units of a run: words of Say nodes, and Spell nodes, which are never cut and end no sentence."""
+
+    def __init__(self, units):
+        self.units = units  # (plain, as rendered, is it a word)
+        self.text = re.sub("  +", " ", " ".join(u[1] for u in units if u[1])).strip()
+
+    def cut(self, limit: int):
+        """(part, was it cut at a mere word) of a sentence over the limit: after the last clause mark of what fits, else its last unit; the rest whole where not even one fits."""
+        units = self.units
+        while len((whole := _Sentence(units)).text) > limit:
+            ends = [0]
+            for _, shown, _ in units:
+                ends.append(ends[-1] + len(shown) + 1)
+            fit = sum(end - 1 <= limit for end in ends[1:])
+            clause = max((i + 1 for i, (plain, _, word) in enumerate(units[:fit]) if word and plain[-1] in ";:,—"), default=0)
+            if not fit:
                 break
-            used, fit = used + len(w) + 1, i
-            clause = i if w[-1] in ";:,—" else clause
-        at = clause or fit
-        if not at:
-            break
-        out.append(" ".join(words[:at]))
-        words = words[at:]
-    return [*out, " ".join(words)] if words else out
+            yield _Sentence(units[: clause or fit]), not clause
+            units = units[clause or fit :]
+        else:
+            if not units:
+                return
+        yield whole, False
+
+
+def pack_nodes(parts: list[tuple[str, str]], limit: int, style: str = "silence") -> list[tuple[str, str | None]]:
+    """(text, near) of a run's pieces: whole sentences, greedily, of at most ``limit`` characters as rendered.
+
+    ``near``: the first 60 characters of what was said, where a sentence had to be cut at a mere word.
+    """
+    units = [(t, rendered(k, t, style), False) if k == "Spell" else (w, rendered(k, w, style), True) for k, t in parts for w in ([t] if k == "Spell" else t.split())]
+    whole = _Sentence([(t, rendered(k, t, style), k != "Spell") for k, t in parts])
+    if len(whole.text) <= limit:
+        return [(whole.text, None)]
+    ends = [i + 1 for i, (plain, _, word) in enumerate(units) if word and is_sentence_end(plain)]
+    bounds = sorted({0, *ends, len(units)})
+    out: list[tuple[str, str | None]] = []
+    held: list[str] = []
+
+    def flush():
+        if held:
+            out.append((" ".join(held), None))
+            held.clear()
+
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        sentence = _Sentence(units[a:b])
+        if len(sentence.text) > limit:
+            flush()
+            out += [(p.text, " ".join(u[0] for u in p.units)[:60] if at_word else None) for p, at_word in sentence.cut(limit)]
+            continue
+        if held and sum(map(len, held)) + len(held) + len(sentence.text) > limit:
+            flush()
+        held.append(sentence.text)
+    flush()
+    return out
 
 
 def pack(text: str, limit: int) -> list[str]:
-    """Whole sentences, greedily, in pieces of at most ``limit`` characters."""
-    if len(text) <= limit:
-        return [text]
-    sentences: list[list[str]] = [[]]
-    for w in text.split():
-        sentences[-1].append(w)
-        if is_sentence_end(w):
-            sentences.append([])
-    out, piece_ = [], ""
-    for s in filter(None, sentences):
-        line = " ".join(s)
-        if len(line) > limit:
-            out += [piece_] * bool(piece_) + _cut_sentence(s, limit)
-            piece_ = ""
-        elif piece_ and len(piece_) + 1 + len(line) > limit:
-            out.append(piece_)
-            piece_ = line
-        else:
-            piece_ = f"{piece_} {line}" if piece_ else line
-    return out + [piece_] * bool(piece_)
+    """The pieces of a plain text."""
+    return [t for t, _ in pack_nodes([("Say", text)], limit)]
 
 
-def chunks(nodes: DataFrame, limit: int = V.MAX_CHARS) -> DataFrame:
-    """doc_id, chunk_idx, run_id, text, n_chars, pause_after_ms.  Only runs over the limit go to Python."""
-    r = runs(nodes)
+def chunks(nodes: DataFrame, limit: int = V.MAX_CHARS, style: str = "silence") -> DataFrame:
+    """doc_id, chunk_idx, run_id, text, n_chars, pause_after_ms, near (see ``pack_nodes``).  Only runs over the limit go to Python."""
+    r = _runs(nodes, style)
 
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack(t, limit))
+    @F.pandas_udf("array<struct<text:string,near:string>>")
+    def packed(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda run: [{"text": t, "near": n} for t, n in pack_nodes([(x["node"], x["text"]) for x in run], limit, style)])
 
-    long = r.where(F.col("n_chars") > limit).withColumn("parts", packed("text"))
-    rows = r.where(F.col("n_chars") <= limit).withColumn("parts", F.array("text")).unionByName(long)
-    rows = rows.select("doc_id", "run_id", "pause_after_ms", F.size("parts").alias("k"), F.posexplode("parts").alias("i", "text"))
+    whole = F.array(F.struct("text", F.lit(None).cast("string").alias("near")))
+    long = r.where(F.col("n_chars") > limit).withColumn("pieces", packed("parts"))
+    rows = r.where(F.col("n_chars") <= limit).withColumn("pieces", whole).drop("parts").unionByName(long.drop("parts"))
+    rows = rows.select("doc_id", "run_id", "pause_after_ms", F.size("pieces").alias("k"), F.posexplode("pieces").alias("i", "x")).select("*", "x.text", "x.near")
     seq = Window.partitionBy("doc_id").orderBy("run_id", "i")
-    return rows.select("doc_id", (F.row_number().over(seq) - 1).cast("int").alias("chunk_idx"), "run_id", "text", F.length("text").alias("n_chars"), F.when(F.col("i") == F.col("k") - 1, F.col("pause_after_ms")).otherwise(0).alias("pause_after_ms"))
+    return rows.select("doc_id", (F.row_number().over(seq) - 1).cast("int").alias("chunk_idx"), "run_id", "text", F.length("text").alias("n_chars"), F.when(F.col("i") == F.col("k") - 1, F.col("pause_after_ms")).otherwise(0).alias("pause_after_ms"), "near")
 
 
 def chunk_keys(c: DataFrame, voice: str, speed: float = 1.0, engine: str = "kokoro") -> DataFrame:

@@ -50,8 +50,11 @@ def decoded(body: Column, content_type: Column) -> Column:
 
 def cached(asked: DataFrame, cache: DataFrame) -> DataFrame:
     """The newest usable response per asked url (``cache``: key, the response, fetched_at); without a body it is a miss."""
-    newest = F.max_by(F.struct("final_url", "status", "content_type", "body"), "fetched_at")
-    hits = cache.where("body is not null").join(asked.select(url_key(F.col("url")).alias("key")).distinct(), "key", "left_semi").groupBy("key").agg(newest.alias("r"))
+    wanted = cache.where("body is not null").join(asked.select(url_key(F.col("url")).alias("key")).distinct(), "key", "left_semi")
+    # The newest row is chosen by narrow columns, equal times by the body's digest; bodies join afterwards.
+    wanted = wanted.withColumn("__mark", F.struct("fetched_at", F.sha2("body", 256).alias("digest")))
+    newest = wanted.groupBy("key").agg(F.max("__mark").alias("__mark"))
+    hits = wanted.join(newest, ["key", "__mark"]).select("key", F.struct("final_url", "status", "content_type", "body").alias("r")).dropDuplicates(["key"])
     rows = asked.select("url", url_key(F.col("url")).alias("key")).distinct().join(hits, "key")
     filled = F.coalesce("r.final_url", "url"), F.coalesce("r.status", F.lit(200)), F.coalesce("r.content_type", F.lit(""))
     return rows.select("key", "url", filled[0].alias("final_url"), filled[1].alias("status"), filled[2].alias("content_type"), "r.body")
@@ -64,19 +67,32 @@ def to_fetch(asked: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def fetch(missing: DataFrame, get: Callable[[str, bool], tuple[str, int, str, bytes]]) -> DataFrame:
-    """Responses by ``get(url, plain) -> (final_url, status, content_type, body)``; a refusal (403) is tried once more, plainly."""
+    """Responses by ``get(url, plain) -> (final_url, status, content_type, body)``; a refusal (403) is tried once more, plainly.
+
+    An exception of ``get`` is a row without status and body, whose content_type says what happened.
+    """
+
+    def one(url):
+        try:
+            got = get(url, False)
+            return (url, *(get(url, True) if got[1] == 403 else got))
+        except Exception as e:  # noqa: BLE001  any failure of one address is its row's
+            return (url, url, None, f"error: {type(e).__name__}: {e}", None)
 
     def run(frames):
         for pdf in frames:
-            rows = []
-            for url in pdf["url"]:
-                got = get(url, False)
-                rows.append((url, *(get(url, True) if got[1] == 403 else got)))
-            yield pd.DataFrame(rows, columns=["url", "final_url", "status", "content_type", "body"])
+            rows = pd.DataFrame([one(url) for url in pdf["url"]], columns=["url", "final_url", "status", "content_type", "body"])
+            yield rows.astype({"status": "Int32"})
 
     return missing.select("url").mapInPandas(run, RESPONSE)
 
 
+def to_cache(responses: DataFrame, fetched_at: Column) -> DataFrame:
+    """Cache rows of usable responses, to be appended: key, final_url, status, content_type, body, fetched_at."""
+    good = responses.where("body is not null and status between 200 and 299")
+    return good.select(url_key(F.col("url")).alias("key"), "final_url", "status", "content_type", "body", fetched_at.alias("fetched_at")).dropDuplicates(["key"])
+
+
 def thin_articles(pages: DataFrame, blocks: DataFrame, least: int = THIN_WORDS) -> DataFrame:
     """page_id, words, thin, gated: how much text each page gave, and whether a thin one carries paywall marks."""
     words = blocks.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(T.words(F.col("text"))).cast("long").alias("words"))

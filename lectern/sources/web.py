@@ -54,43 +54,76 @@ def strip_site_suffix(title: Column, url: Column) -> Column:
     return F.when((head != "") & (domain != "") & own, head).otherwise(title)
 
 
+_HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 class _Blocks(HTMLParser):
+    """The outermost open quote, item, table, caption or code owns all text inside it; other block tags end a paragraph.
+
+    A list inside an item gives items of its own; the item's own text ends where that list begins.
+    """
+
     SKIP = ("script", "style", "nav", "header", "footer", "aside", "noscript", "template")
-    KIND = {"p": "paragraph", "blockquote": "quote", "figcaption": "caption", "table": "table", "pre": "code", "li": "list_item"}
+    OWN = {"blockquote": "quote", "figcaption": "caption", "table": "table", "pre": "code", "li": "list_item"}
+    BREAK = ("p", "div", "section", "article", "figure", "main", "body", "tr", "td", "th", "dl", "dt", "dd", "address", "form", *_HEADS)
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.buf, self.kind, self.level, self.skip, self.lists, self.title = [], [], "paragraph", 0, [], [], []
-        self.ordinal, self.in_title = None, False
+        self.rows, self.skip, self.lists, self.title, self.in_title = [], [], [], [], False
+        self.owner, self.depth = None, 0
+        self.start("paragraph")
+
+    def start(self, kind, level=0, ordinal=None):
+        self.kind, self.level, self.ordinal, self.buf, self.cells = kind, level, ordinal, [], []
 
     def flush(self):
-        sep = " | " if self.kind == "table" else ""
-        text = " ".join(sep.join(self.buf).split())
-        if text:
+        text = "".join(self.buf)
+        if self.kind == "table":
+            text = " | ".join(filter(None, (" ".join("".join(c).split()) for c in self.cells)))
+        elif self.kind != "code":
+            text = " ".join(text.split())
+        if text.strip():
             self.rows.append((self.kind, text, self.level, self.ordinal))
-        self.buf, self.kind, self.level, self.ordinal = [], "paragraph", 0, None
+        self.owner = None
+        self.start("paragraph")
+
+    def own(self, tag):
+        self.flush()
+        ordinal = None
+        if tag == "li" and self.lists:
+            self.lists[-1][1] += 1
+            ordinal = self.lists[-1][1] if self.lists[-1][0] == "ol" else None
+        self.owner, self.depth = tag, 1
+        self.start(self.OWN[tag], 0, ordinal)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("br", "img", "hr", "meta", "link", "input", "source"):
-            self.buf.append(" ")
+        if self.skip:
+            self.skip += [tag] * (tag == self.skip[-1])
+        elif tag in ("br", "img", "hr", "meta", "link", "input", "source"):
+            self.handle_data("\n" if tag == "br" and self.kind == "code" else " ")
         elif tag in self.SKIP or "ad" in (dict(attrs).get("class") or "").split():
-            self.flush()
+            if not self.owner and tag not in ("script", "style", "noscript", "template"):
+                self.flush()
             self.skip.append(tag)
-        elif self.skip:
-            self.skip += [tag] * (tag == self.skip[-1])
         elif tag == "title":
             self.in_title = True
-        elif tag in ("ul", "ol"):
+        elif tag in ("ul", "ol") and self.owner in (None, "li"):
             self.flush()
             self.lists.append([tag, 0])
-        elif tag in self.KIND or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        elif tag == self.owner and tag != "li":
+            self.depth += 1
+            self.handle_data(" ")
+        elif tag in self.OWN and self.owner in (None, "li") and (tag == "li" or self.owner is None):
+            self.own(tag)
+        elif self.owner:
+            if tag in ("td", "th") and self.kind == "table":
+                self.cells.append([])
+            elif tag in self.BREAK or tag in self.OWN:
+                self.handle_data(" ")
+        elif tag in _HEADS:
             self.flush()
-            self.kind = self.KIND.get(tag, "heading")
-            self.level = int(tag[1]) if self.kind == "heading" else 0
-            if tag == "li" and self.lists:
-                self.lists[-1][1] += 1
-                self.ordinal = self.lists[-1][1] if self.lists[-1][0] == "ol" else None
-        elif tag in ("div", "section", "article", "figure", "main", "body"):
+            self.start("heading", int(tag[1]))
+        elif tag in self.BREAK:
             self.flush()
 
     def handle_endtag(self, tag):
@@ -99,16 +132,30 @@ class _Blocks(HTMLParser):
                 self.skip.pop()
         elif tag == "title":
             self.in_title = False
-        elif tag in ("ul", "ol"):
+        elif tag in ("ul", "ol") and self.owner in (None, "li"):
             self.flush()
             self.lists = self.lists[:-1]
-        elif tag in self.KIND or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article", "figure", "main", "body"):
+        elif tag == self.owner:
+            self.depth -= 1
+            if self.depth:
+                self.handle_data(" ")
+            else:
+                self.flush()
+        elif self.owner:
+            if tag in self.BREAK or tag in self.OWN:
+                self.handle_data(" ")
+        elif tag in self.BREAK:
             self.flush()
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.skip and (self.kind != "table" or data.strip()):
+        elif self.skip:
+            pass
+        elif self.kind == "table":
+            if self.cells:
+                self.cells[-1].append(data)
+        else:
             self.buf.append(data)
 
 
@@ -120,17 +167,33 @@ def parse_blocks(html: str | None) -> tuple[str | None, list[tuple]]:
     return " ".join("".join(p.title).split()) or None, p.rows
 
 
-def html_blocks(pages: DataFrame) -> DataFrame:
-    """doc_id, title, pos, kind, text, level, ordinal from (page_id, html)."""
+_ROWS = "array<struct<kind:string,text:string,level:int,ordinal:int>>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """``pages`` with title and blocks (an array in document order) of their column html."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("ordinal", pa.int32())]))
+    names = [*pages.columns, "title", "blocks"]
 
     def run(batches):
         for b in batches:
             done = [parse_blocks(h) for h in b["html"].to_pylist()]
             rows = [[dict(zip(("kind", "text", "level", "ordinal"), r, strict=True)) for r in rows] for _, rows in done]
-            yield pa.RecordBatch.from_arrays([b["page_id"], pa.array([t for t, _ in done], pa.string()), pa.array(rows, kind)], ["doc_id", "title", "blocks"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t for t, _ in done], pa.string()), pa.array(rows, kind)], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    return pages.mapInArrow(run, f"{fields}, title string, blocks {_ROWS}")
 
-    out = pages.select("page_id", "html").mapInArrow(run, "doc_id long, title string, blocks array<struct<kind:string,text:string,level:int,ordinal:int>>")
-    rows = out.select("doc_id", "title", F.posexplode_outer("blocks").alias("pos", "b")).select("doc_id", "title", "pos", "b.*")
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """doc_id, title, pos, kind, text, level, ordinal from (page_id, html)."""
+    out = parsed(pages.select(F.col("page_id").alias("doc_id"), "html"))
+    rows = out.select("doc_id", "title", F.posexplode("blocks").alias("pos", "b")).select("doc_id", "title", "pos", "b.*")
     null = F.lit(None)
-    return rows.where("kind is not null").withColumns({"page": null.cast("int"), "position": null.cast("double")})
+    return rows.withColumns({"page": null.cast("int"), "position": null.cast("double")})
+
+
+def described(detected: Column, path: Column) -> Column:
+    """struct(is_url, label): a resolved source as a line, its kind and its address or path."""
+    is_url = detected["kind"] == "url"
+    return F.struct(is_url.alias("is_url"), F.concat_ws(" ", detected["kind"], F.when(is_url, detected["url"]).otherwise(path)).alias("label"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators import output, speech
@@ -10,9 +9,10 @@ from lectern.operators import output, speech
 
 def resume(spark: SparkSession, keyed: DataFrame, cache_path: str, engine=output.stand_in) -> int:
     """Synthesise what the cache at ``cache_path`` lacks and append it; the number of new entries."""
-    try:
+    there = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         cache = spark.read.schema("key string, audio binary").parquet(cache_path)
-    except AnalysisException:
+    else:  # only a missing path is an empty cache
         cache = spark.createDataFrame([], "key string, audio binary")
     todo = speech.misses(keyed, cache).cache()
     n = todo.count()
