@@ -1,17 +1,20 @@
 """Media columns: interleaved document sequences.
 
-HTML is parsed into an ordered array of structs, text and media references in document order, each reference with its
-caption.  Media live in a table of their own, keyed by the SHA-256 of the payload, one row per distinct payload.  A
-digest join resolves the references; positions and captions stay with them.
-
-The stored form is 8-bit mono PCM in a WAV container (sample = byte), lossless.  Features are computed from the samples
-read back.  Payloads never cross a shuffle: rows are keyed by digest after the features are known, so the join moves
-digests and a few numbers.  A payload shared by a third of the documents is one media row (pre-aggregated), and its
-references are the side that adaptive execution can split.
-
-Defined cases: null text is an empty text, whose payload is 64 zero bytes; null html has no items; null doc_id and
-repeated rows pass through; a reference without a stored payload resolves to nulls; an empty table gives an empty
-result; other columns are ignored.
+HTML is parsed into an ordered array of structs, text and media references in document order, each reference with the
+caption of its own figure.  Media live in a table of their own in the shared folder, keyed by the SHA-256 of the payload:
+one row per distinct payload (of rows equal in id and payload all are written, and count once when read).  A digest join
+resolves the references; positions and captions stay with them.
+
+The stored form is 8-bit mono PCM in a WAV container (sample = byte), lossless.  Features are computed from the bytes that
+are read back from the table.  Payloads never cross a shuffle: documents whose payload another one writes are found on
+(id, digest) alone and left out by a broadcast of these pairs below a checked size, by a join beyond it.  References to one
+payload are the side of the digest join that adaptive execution can split; text items join on keys of their own.
+
+Defined cases: null text is an empty text, whose payload is 64 zero bytes; null html has no items; null id and repeated
+rows pass through; ties don't occur, as equal digests have equal payloads; a caption outside a figure is text, of several
+in a figure the last with words counts, a figure within a figure keeps its own; a reference without a stored payload
+resolves to nulls; very long texts are single rows, taken one at a time; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table, utf8
+from lectern.llm.common import cut, shared_path, table, utf8
 
 PAD = 64
+#: Pairs (id, digest) up to which a list of them is broadcast (about 80 bytes each).
+BROADCAST_PAIRS = 100_000
 RATE = 8000
 ITEM = "struct<pos:int,kind:string,text:string,ref:string,caption:string>"
 _STORED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -74,7 +79,8 @@ def features(samples: np.ndarray) -> str:
 class _Items(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.skip, self.caption, self.figure = [], [], 0, None, []
+        self.items, self.text, self.skip, self.caption = [], [], 0, None
+        self.figures = []  # open figures, each with its media and its caption
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -82,6 +88,17 @@ class _Items(HTMLParser):
         if text:
             self.items.append({"pos": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self):
+        if self.caption is not None:
+            self.figures[-1]["caption"] = " ".join("".join(self.caption).split()) or self.figures[-1]["caption"]
+            self.caption = None
+
+    def end_figure(self):
+        self.end_caption()
+        figure = self.figures.pop()
+        for item in figure["media"]:
+            item["caption"] = figure["caption"] or item["caption"]
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.skip += 1
@@ -91,13 +108,17 @@ class _Items(HTMLParser):
             if ref := a.get("src"):
                 item = {"pos": len(self.items), "kind": "media", "text": None, "ref": ref, "caption": a.get("alt") or None}
                 self.items.append(item)
-                self.figure.append(item)
+                if self.figures:
+                    self.figures[-1]["media"].append(item)
         elif tag == "figure":
             self.flush()
-            self.figure = []
+            self.end_caption()
+            self.figures.append({"media": [], "caption": None})
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
+            if self.figures:
+                self.end_caption()
+                self.caption = []
         elif tag in ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br", "blockquote", "article", "section", "td", "tr", "table", "pre"):
             self.flush()
 
@@ -105,10 +126,11 @@ class _Items(HTMLParser):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
         elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.figure:
-                item["caption"] = text or item["caption"]
-            self.caption = None
+            self.end_caption()
+        elif tag == "figure":
+            self.flush()
+            if self.figures:
+                self.end_figure()
         elif tag not in ("b", "i", "em", "strong", "span", "a", "code"):
             self.flush()
 
@@ -123,6 +145,8 @@ def parse_items(html: str | None) -> list[dict]:
     p.feed(html or "")
     p.close()
     p.flush()
+    while p.figures:
+        p.end_figure()
     return p.items
 
 
@@ -141,20 +165,20 @@ def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 def _store(batches):
     for b in batches:
-        payloads = b["payload"].to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([hashlib.sha256(x).hexdigest() for x in payloads]), pa.array([to_wav(x) for x in payloads], pa.binary())], ["digest", "media"]
-        )
+        for i in range(b.num_rows):  # one payload at a time: a batch's copies together could be large
+            payload = b["payload"][i].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(payload).hexdigest()]), pa.array([to_wav(payload)], pa.binary())], ["digest", "media"])
 
 
 def _features(batches):
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for b in batches:
         rows = []
-        for digest, media in zip(b["digest"].to_pylist(), b["media"].to_pylist(), strict=True):
+        for digest, stored in zip(b["digest"], b["media"], strict=True):
+            media = stored.as_py()
             back = from_wav(media)
-            rows.append((digest, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(back, np.uint8))))
+            rows.append((digest.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(back, np.uint8))))
         if rows:
-            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in _STORED.split(", ")])
 
 
@@ -163,6 +187,22 @@ def store(payloads: DataFrame) -> DataFrame:
     return payloads.select("payload").mapInArrow(_store, "digest string, media binary")
 
 
+def media_table(docs: DataFrame, id_col: str, payload) -> DataFrame:
+    """The media of ``docs``, written to the shared folder, one row per distinct payload, and read back."""
+    spark, digest = docs.sparkSession, F.sha2(payload, 256)
+    pairs = docs.select(F.col(id_col).alias("id"), digest.alias("digest"))
+    shared = pairs.groupBy("digest").agg(F.min("id").alias("writer"), F.count("*").alias("n")).where("n > 1").select("digest", "writer")
+    # The smallest id of a payload writes it; if all its ids are null, every one does.
+    others = pairs.join(shared, "digest").where("writer is not null and not (id <=> writer)")
+    others = cut(others.select(F.col("id").alias("other_id"), F.col("digest").alias("other_digest")).distinct(), "media-copies")
+    few = others.count() <= BROADCAST_PAIRS
+    rows = docs.select(F.col(id_col).alias("id"), payload.alias("payload"))
+    rows = rows.join(F.broadcast(others) if few else others, F.col("id").eqNullSafe(F.col("other_id")) & (F.sha2("payload", 256) == F.col("other_digest")), "left_anti")
+    path = shared_path(spark, "media")
+    store(rows).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema("digest string, media binary").parquet(path)
+
+
 def described(media: DataFrame) -> DataFrame:
     """One row per distinct digest, with what is read back from the stored form."""
     rows = media.mapInArrow(_features, _STORED)
@@ -171,17 +211,21 @@ def described(media: DataFrame) -> DataFrame:
 
 def resolve(sequence: DataFrame, media: DataFrame) -> DataFrame:
     """Digest join: every media item of the sequence with its payload's columns, text items with nulls."""
-    digest = F.when(F.col("kind") == "media", F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1))
-    return sequence.withColumn("digest", digest).join(media, "digest", "left")
+    digest = F.when(F.col("kind") == "media", F.nullif(F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1), F.lit("")))
+    # Items without a digest get a key that matches nothing, each its own, so they don't meet in one task.
+    alone = F.concat(F.lit("none:"), F.hex(F.xxhash64(*sequence.columns)))
+    rows = sequence.withColumn("__digest", digest).withColumn("__key", F.coalesce("__digest", alone))
+    joined = rows.join(media.withColumnRenamed("digest", "__key"), "__key", "left")
+    return joined.drop("__key").withColumnRenamed("__digest", "digest")
 
 
 def op1_media_sequences(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    stored = described(store(docs.select(padded(F.col("text")).alias("payload"))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    payload = padded(F.col("text"))
+    stored = described(media_table(docs, "doc_id", payload))
     n = F.octet_length(utf8(F.col("text"))).cast("long")
-    digest = F.sha2(padded(F.col("text")), 256)
     caption = F.concat(n.cast("string"), F.lit(" bytes"))
-    html = F.concat(F.lit('<article><p>payload</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure></article>"))
+    html = F.concat(F.lit('<article><p>before</p><figure><img src="sha256:'), F.sha2(payload, 256), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure><p>after</p></article>"))
     pages = docs.select(F.struct("doc_id", n.alias("n_bytes")).alias("id"), html.alias("html"))
-    found = resolve(interleave(pages, "id", "html").where("kind = 'media'"), stored)
-    return found.select("id.doc_id", "id.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    items = resolve(interleave(pages, "id", "html"), stored).where("kind = 'media'")
+    return items.select("id.doc_id", "id.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")

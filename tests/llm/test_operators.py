@@ -320,3 +320,106 @@ def test_bitmaps_never_lose_a_link():
         b = np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, 20)), dtype=np.uint64)]))
         if len(b) and jaccard.linked(len(a), len(b), len(np.intersect1d(a, b))):
             assert jaccard.may_link(len(a), jaccard.parity_bits(a), len(b), jaccard.parity_bits(b))
+
+
+def test_captions_stay_with_their_figures(spark):
+    caps = lambda html: [i["caption"] for i in media.parse_items(html) if i["kind"] == "media"]
+    assert caps('<figure><img src="a"><figcaption>one</figcaption></figure><figcaption>stray</figcaption>') == ["one"]
+    assert caps('<figure><img src="a"><figure><img src="b"><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>') == ["outer", "inner"]
+    assert caps('<img src="a" alt="x"><figure><figcaption>late</figcaption><img src="b">') == ["x", "late"]
+    pages = spark.createDataFrame([(1, '<p>t</p><img src="sha256:%s"><p>u</p><img src="other">' % ("a" * 64)), (2, None)], "page long, html string")
+    stored = spark.createDataFrame([("a" * 64, 7)], "digest string, payload_bytes long")
+    out = media.resolve(media.interleave(pages, "page", "html"), stored).orderBy("pos").collect()
+    assert [(r["kind"], r["payload_bytes"]) for r in out] == [("text", None), ("media", 7), ("text", None), ("media", None)]
+
+
+def test_media_table_holds_each_payload_once(spark, tmp_path):
+    rows = [(1, "same", 1, 1), (2, "same", 2, 2), (None, "same", 3, 3), (3, None, 4, 4), (4, "", 5, 5), (5, "x" * 3_000_000, 6, 6), (None, "only null", 7, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int, payload int")
+    found = media.media_table(docs, "doc_id", media.padded(F.col("text")))
+    assert found.count() == 4
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in media.op1_media_sequences(spark, str(tmp_path)).collect():
+        raw = next(t or "" for d, t, *_ in rows if d == r["doc_id"] and (d is not None or len((t or "").encode()) == r["n_bytes"])).encode()
+        p = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+        wav = media.to_wav(p)
+        assert (r["payload_sha256"], r["media_bytes"], r["media_sha256"], r["feature"]) == (hashlib.sha256(p).hexdigest(), len(wav), hashlib.sha256(wav).hexdigest(), media.features(np.frombuffer(p, np.uint8)))
+        assert (r["pos"], r["caption"]) == (1, f"{len(raw)} bytes")
+
+
+def test_equal_rows_do_not_overshoot_a_target(spark, tmp_path):
+    rows = [(1, "a b c d e f g h i j", "s", 0)] * 100 + [(2, "k l m", "s", 0), (3, "n o p q", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tied int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op7_mix_sources(spark, str(tmp_path)).collect()
+    target = out[0]["target"]
+    assert len(out) == 102 and target == 1.5 * 1007 and all(r["taken"] <= 2 * r["size"] for r in out)
+    assert abs(sum(r["taken"] for r in out) - target) <= 10
+    mixed = mixing.mix(docs).collect()
+    assert abs(sum(len(r["text"].split()) for r in mixed) - target) <= 10
+
+
+def test_cross_parse_is_that_of_the_whole_text():
+    rng = random.Random(1)
+    reference = {k: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 6))) for _ in range(n)) for k, n in (("x", 3000), ("y", 500))}
+    texts = ["", "a", reference["x"]]
+    for _ in range(25):
+        t, size = "", rng.choice([10, 300, 3000])
+        while len(t) < size:
+            a = rng.randrange(len(reference["x"]) - 700)
+            t += reference["x"][a : a + rng.randrange(5, 700)] if rng.random() < 0.5 else "".join(rng.choices("abcdefghz ", k=20))
+        texts.append(langid.normalise(t))
+    langs, codes, automata = langid.models(reference)
+    got = langid.count_phrases([langid.encode(t.encode(), codes)[0] for t in texts], automata)
+    for i, t in enumerate(texts):
+        for j, lang in enumerate(langs):
+            want, held = int(bool(t)), ""
+            for x in t:
+                if held + x in reference[lang]:
+                    held += x
+                else:
+                    want, held = want + 1, x if x in reference[lang] else ""
+            assert got[i, j] == want
+
+
+def test_language_held_out(spark, tmp_path):
+    rng = random.Random(4)
+    lexicon = {k: ["".join(rng.choices(v, k=rng.randrange(2, 7))) for _ in range(80)] for k, v in (("aa", "abcdefg"), ("bb", "defghij"), ("cc", "абвгд"))}
+    rows = [(i, " ".join(rng.choices(lexicon[k], k=rng.randrange(5, 60))), k) for i in range(300) for k in [rng.choice(list(lexicon))]]
+    rows += [(300, None, "aa"), (301, "12 34", "aa"), (302, "x" * 2_000_000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = by_id(langid.op9_language_id(spark, str(tmp_path)))
+    assert len(out) == len(rows) and (out[300]["lang_pred"], out[301]["lang_pred"]) == ("und", "und") and out[300]["score"] == 0
+    held = [(out[i]["lang_pred"], k) for i, _, k in rows[:300] if out[i]["held_out"]]
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows) and len(held) > 30
+    assert sum(a == b for a, b in held) > 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in out.values())
+
+
+def test_one_document_of_a_group_stays_whatever_its_id(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdef", k=4)) for _ in range(60)]
+    near = [*base[:-1], "other"]
+    rows = [(None, " ".join(base), 1), (None, " ".join(near), 2), (7, "something else entirely of its own here", 3), (7, " ".join(base), 4), (9, " ".join(near), 5), (9, " ".join(near), 6), (None, None, 7), (8, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    assert sorted(r["th"] for r in jaccard.keep_one(docs).collect() if r["text"]) in ([3, 4],)
+    assert jaccard.keep_one(docs).where("th >= 7").count() == 2
+    same = spark.createDataFrame([(1, " ".join(base), i) for i in range(5)], "doc_id long, text string, n int")
+    assert jaccard.keep_one(same).count() == 1
+
+
+def test_regions_keep_every_link_and_forests_join_what_pairs_join():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 62, 80, dtype=np.uint64)
+        members = []
+        for i in range(12):
+            s = np.unique(np.where(rng.random(80) < rng.choice([0.0, 0.05, 0.5]), rng.integers(0, 1 << 62, 80, dtype=np.uint64), base))
+            members.append(jaccard._Member(i, len(s), jaccard.shorten(jaccard.parity_bits(s))))
+        root = list(range(12))
+        find = lambda x: x if root[x] == x else find(root[x])
+        for x, y in jaccard.spanning_forest(members):
+            assert find(x.sid) != find(y.sid)
+            root[find(x.sid)] = find(y.sid)
+        for x in members:
+            for y in members:
+                assert not x.near(y) or find(x.sid) == find(y.sid)
