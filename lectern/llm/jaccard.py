@@ -171,7 +171,7 @@ def prefix(s: np.ndarray, crowded: np.ndarray) -> np.ndarray:
 
 
 def _regions_of(docs: DataFrame, crowded: bytes, shared: frozenset) -> DataFrame:
-    """h, sid, n, at: a row per prefix shingle of each set, with its place in the order of the set."""
+    """h, sid, size: a row per prefix shingle of each set; size is 64 times n plus the shingle's place in the order of the set in 64ths of n, rounded down."""
     packed = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches):
@@ -187,11 +187,12 @@ def _regions_of(docs: DataFrame, crowded: bytes, shared: frozenset) -> DataFrame
                     sids.append(sid)
                     ns.append(len(s))
             sizes = [len(h) for h in hs]
-            place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-            cols = [np.concatenate(hs).view(np.int64), np.repeat(np.array(sids, np.int64), sizes[1:]), np.repeat(np.array(ns, np.int32), sizes[1:]), place]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "sid", "n", "at"])
+            place = np.concatenate([np.arange(k, dtype=np.int64) for k in sizes])
+            n = np.repeat(np.array(ns, np.int64), sizes[1:])
+            cols = [np.concatenate(hs).view(np.int64), np.repeat(np.array(sids, np.int64), sizes[1:]), 64 * n + 64 * place // np.maximum(n, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "sid", "size"])
 
-    return docs.select("text").mapInArrow(run, "h long, sid long, n int, at int")
+    return docs.select("text").mapInArrow(run, "h long, sid long, size long")
 
 
 _MEMBERS = "large boolean, rid long, sid long, n int"
@@ -243,11 +244,12 @@ class _Lists:
 
 def _list_regions(batches):
     """Rows sorted by (h, sid) give the members of regions of two sets or more."""
-    found, names = _Lists(), ("h", "sid", "n", "at")
+    found, names = _Lists(), ("h", "sid", "size")
     keep = tuple(np.empty(0, np.int64) for _ in names)
     large = None  # (h, pivot) of a large region whose members are passing through
 
-    def settle(h, sid, n, place):
+    def settle(h, sid, size):
+        n, place = size >> 6, ((size >> 6) * (size & 63)) >> 6
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(h)]]))
         for k in np.unique(lengths[lengths > 1]).tolist():
@@ -264,22 +266,22 @@ def _list_regions(batches):
             continue
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])
         rows = tuple(c[new] for c in rows)
-        h, sid, n, _ = rows
+        h, sid, size = rows
         if large:
             k = int(np.searchsorted(h, large[0], "right"))
-            found.large(large[1], sid[:k], n[:k])
+            found.large(large[1], sid[:k], size[:k] >> 6)
             if k == len(h):  # the last row may come again
                 keep = tuple(c[-1:] for c in rows)
                 yield from found.out(500_000)
                 continue
             rows, large = tuple(c[k:] for c in rows), None
-            h, sid, n, _ = rows
+            h, sid, size = rows
         last = int(np.searchsorted(h, h[-1], "left"))
         if last:
             settle(*(c[:last] for c in rows))
         if len(h) - last > REGION:
             large = (int(h[-1]), int(sid[last]))
-            found.large(large[1], sid[last:], n[last:])
+            found.large(large[1], sid[last:], size[last:] >> 6)
             last = len(h) - 1
         keep = tuple(c[last:] for c in rows)
         yield from found.out(500_000)
@@ -455,9 +457,10 @@ class _Corpus:
         return cut(rows.mapInArrow(_list_regions, _MEMBERS).distinct(), "regions")
 
     def edges(self, members: DataFrame, chosen, once: bool = False) -> DataFrame:
-        """rid, a, b, sure of what ``chosen`` takes of the pairs of each small region."""
+        """rid, a, b, sure of what ``chosen`` takes of the pairs of each small region; ``once``: a pair mostly once, of a few members."""
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        short = self.meta.groupBy("sid").agg(F.first("short").alias("short"))
+        meta = _only(self.meta, "sid", members.select("sid")) if once else self.meta
+        short = meta.groupBy("sid").agg(F.first("short").alias("short"))
         names = ["sid", "n", "short"] + ["root"] * ("root" in members.columns)
         rows = members.join(short, "sid").select("rid", *names).repartition(parts, "rid").sortWithinPartitions("rid", "sid")
         return rows.mapInArrow(_edges_within(names, chosen, once), _EDGES)
@@ -516,7 +519,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     # Regions with an edge that joined nothing: their other pairs between components.
     open_ = cut(_rooted(forest, roots).where("root_a <> root_b").select("rid").distinct(), "open")
     if not open_.isEmpty():
-        members = small.join(open_, "rid", "left_semi").join(roots, F.col("sid") == F.col("node"), "left").select("rid", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        members = small.join(open_, "rid", "left_semi").join(roots, F.col("sid") == F.col("node"), "left")
+        members = cut(members.select("rid", "sid", "n", F.coalesce("root", "sid").alias("root")), "members")
         rest = cut(c.passing(cut(c.edges(members, _between_components, once=True), "between")), "rest")
         more = c.sets(_ends(rest).distinct().withColumnRenamed("a", "sid"))
         links = c.measure(rest, more, few=False).where(IS_LINK).select("a", "b")
