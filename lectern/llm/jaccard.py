@@ -52,6 +52,8 @@ SKETCH_BITS = 21
 SHORT_BITS = 4096
 #: Pivots a round; members of a block; rings of the distance to a pivot.
 PIVOTS, BLOCK, RINGS = 8, 256, 16
+#: Partners of a set that are compared with it in one place.
+PARTNERS = 256
 #: Document ids up to which a list of them is broadcast (8 bytes each).
 BROADCAST_IDS = 200_000
 _META = "kind int, doc_id long, th long, n int, sid long, high long, short binary, bits binary"
@@ -390,30 +392,41 @@ def _filter_bits(batches):
         yield b.filter(pa.array([may_link(*r) for r in zip(*cols, strict=True)], pa.bool_())).select(["a", "b"])
 
 
-def _intersect(batches):
-    for b in batches:
-        out = []
-        for x, y in zip(b["set_a"], b["set_b"], strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-        na, nb, common = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
+_KEYED = "a long, salt int, member boolean, sid long, shingles binary"
+_NO_SET = np.empty(0, np.uint64)
 
 
 def _sets(shared: frozenset):
+    """The sets of documents, each with the key it goes to."""
+
     def run(batches):
         memory = WordHashes()
-        for _, texts in portions(batches):
-            seen = {}
+        for b, texts in portions(batches):
+            sids, sets = [], []
             for t in texts:
                 s = shingle_set(t, memory, WIDTH)
-                if len(s):
-                    seen.setdefault(set_id(s, shared), s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.binary())], ["sid", "shingles"])
+                sids.append(set_id(s, shared))
+                sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([b["a"], b["salt"], b["member"], pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["a", "salt", "member", "sid", "shingles"])
 
     return run
 
 
+def _intersect(batches):
+    """Rows sorted by (a, salt, member, sid): a set, then those it is compared with.  Two sets are in memory at a time."""
+    key, first, last = None, _NO_SET, None
+    for b in batches:
+        out = []
+        for a, salt, member, sid, x in zip(b["a"].to_pylist(), b["salt"].to_pylist(), b["member"].to_pylist(), b["sid"].to_pylist(), b["shingles"], strict=True):
+            if not member:
+                key, first, last = (a, salt), np.frombuffer(x.as_py(), np.uint64), None
+            elif (a, salt) == key and sid != last:  # rows that repeat a document give its set again
+                other, last = np.frombuffer(x.as_buffer(), np.uint64), sid
+                out.append((a, sid, len(first), len(other), len(np.intersect1d(first, other, assume_unique=True))))
+        cols = zip(*out, strict=True) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb", "common"])
+
+
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is among the ids; a short list is broadcast, so the rows stay where they are."""
     ids = cut(ids.distinct(), "keys")
@@ -480,22 +493,24 @@ class _Corpus:
         two = bits.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_filter_bits, "a long, b long")
 
-    def sets(self, sids: DataFrame) -> DataFrame:
-        """sid, shingles of the given nodes, from one document of each."""
-        ids = cut(self.nodes.join(sids, "sid", "left_semi").select("one.doc_id", "one.th"), "ids")
-        found = cut(_by_ids(self.docs, ids, "left_semi", "doc_id", "th").select("text").mapInArrow(_sets(self.shared), "sid long, shingles binary"), "shingles")
-        # Rows that repeat (doc_id, text) give a set again.
-        return found if found.count() <= ids.count() else cut(found.dropDuplicates(["sid"]), "shingles-once")
+    def measure(self, pairs: DataFrame) -> DataFrame:
+        """a, b, na, nb, common: exact intersections of the sets of distinct pairs.
 
-    @staticmethod
-    def measure(pairs: DataFrame, sets: DataFrame, few: bool = True) -> DataFrame:
-        """a, b, na, nb, common: exact intersections.  ``few``: the pairs may need few of the sets."""
-        if few:
-            pairs = cut(pairs.select("a", "b"), "pairs")
-            sets = _only(sets, "sid", _ends(pairs))
-        one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("set_a"))
-        two = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("set_b"))
-        return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_intersect, "a long, b long, na long, nb long, common long")
+        Sets are made from one document of each node and go straight to the pair's key, in one shuffle.  The key is a; one
+        with many partners is split by salt, and its own set goes to each part.
+        """
+        pairs = cut(pairs.select("a", "b"), "pairs")
+        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("r"))
+        own = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("sid"))
+        others = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("r")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("sid"))
+        wanted = cut(self.nodes.join(own.unionByName(others), "sid").select("one.doc_id", "one.th", "a", "salt", "member"), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        wanted = wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th")
+        rows = self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+        sets = rows.select("a", "salt", "member", "text").mapInArrow(_sets(self.shared), _KEYED)
+        sets = sets.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "member", "sid")
+        return sets.mapInArrow(_intersect, "a long, b long, na long, nb long, common long")
 
 
 IS_LINK = "100 * common >= 75 * (na + nb - common)"
@@ -512,8 +527,7 @@ def labelled(docs: DataFrame) -> DataFrame:
 
     forest = cut(c.edges(small, spanning_forest), "forest")
     tries = cut(c.passing(forest).unionByName(stars).distinct(), "tries")
-    sets = c.sets(_ends(tries).distinct().withColumnRenamed("a", "sid"))
-    measured = cut(c.measure(tries, sets, few=False), "measured")
+    measured = cut(c.measure(tries), "measured")
     roots = components(measured.where(IS_LINK).select("a", "b"))
 
     # Regions with an edge that joined nothing: their other pairs between components.
@@ -522,13 +536,12 @@ def labelled(docs: DataFrame) -> DataFrame:
         members = small.join(open_, "rid", "left_semi").join(roots, F.col("sid") == F.col("node"), "left")
         members = cut(members.select("rid", "sid", "n", F.coalesce("root", "sid").alias("root")), "members")
         rest = cut(c.passing(cut(c.edges(members, _between_components, once=True), "between")), "rest")
-        more = c.sets(_ends(rest).distinct().withColumnRenamed("a", "sid"))
-        links = c.measure(rest, more, few=False).where(IS_LINK).select("a", "b")
+        links = c.measure(rest).where(IS_LINK).select("a", "b")
         roots = components(links.unionByName(_edges(roots)))
     if not cells.isEmpty():
-        roots, mixed = _absorb(c, cells, roots, sets)
+        roots, mixed = _absorb(c, cells, roots)
         if mixed is not None:
-            roots = components(_windows(c, mixed, measured, sets).unionByName(_edges(roots)))
+            roots = components(_windows(c, mixed, measured).unionByName(_edges(roots)))
 
     label = c.nodes.join(roots, c.nodes["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = label.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -552,7 +565,7 @@ def _edges(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _absorb(c: _Corpus, cells: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _absorb(c: _Corpus, cells: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Shrink what lies outside each cell's largest component, against a few pivots of that component a round.
 
     Gives the components and, if any cell still has several, its members: pivot, sid, n, root, top (its largest's root).
@@ -574,7 +587,7 @@ def _absorb(c: _Corpus, cells: DataFrame, roots: DataFrame, sets: DataFrame) ->
         seats = seats.select("pivot", F.col("q.sid").alias("q"), F.col("q.n").alias("qn"))
         tries = spread.where("root <> top").join(seats, "pivot").where("4 * n >= 3 * qn and 4 * qn >= 3 * n")
         tries = tries.select(F.least("sid", "q").alias("a"), F.greatest("sid", "q").alias("b")).distinct()
-        links = c.measure(c.near(tries), sets).where(IS_LINK).select("a", "b")
+        links = c.measure(c.near(tries)).where(IS_LINK).select("a", "b")
         roots = components(links.unionByName(_edges(roots)))
         turn, last = turn + 1, work["pairs"]
 
@@ -601,7 +614,7 @@ def _compare_blocks(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
-def _windows(c: _Corpus, members: DataFrame, measured: DataFrame, sets: DataFrame) -> DataFrame:
+def _windows(c: _Corpus, members: DataFrame, measured: DataFrame) -> DataFrame:
     """Links between the components of a pivot's cell, whose pairs must lie in the triangle window about the pivot.
 
     Members are gathered in blocks of about ``BLOCK`` by their distance to the pivot.  Blocks of members outside the
@@ -625,7 +638,7 @@ def _windows(c: _Corpus, members: DataFrame, measured: DataFrame, sets: DataFram
     ys = ys.select("pivot", F.col("ring").alias("ring_y"), "ys", "same")
     pairs = xs.select("pivot", "top", "ring", "xs").join(ys, "pivot").where(F.abs(F.col("ring") - F.col("ring_y")) <= RINGS // 4 + 1)
     near = pairs.select("top", "same", "xs", "ys").mapInArrow(_compare_blocks, "a long, b long")
-    return c.measure(near.distinct(), sets).where(IS_LINK).select("a", "b")
+    return c.measure(near.distinct()).where(IS_LINK).select("a", "b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
