@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import licenses, linededup
+from lectern.llm import licenses, linededup, warc
 from lectern.llm.bpe import op4_bpe_chunks
 from lectern.llm.jaccard import op10_jaccard_join
 from lectern.llm.langid import op9_language_id
@@ -21,4 +21,4 @@ QUERIES = {
         op7_mix_sources, op8_license_scan, op9_language_id, op10_jaccard_join,
     )
 }
-ORACLE_SQL = {"op5_line_dedup": linededup.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL}
+ORACLE_SQL = {"op2_warc_roundtrip": warc.ORACLE_SQL, "op5_line_dedup": linededup.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL}

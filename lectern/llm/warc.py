@@ -149,3 +149,14 @@ def op2_warc_roundtrip(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT *, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS response FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to, url, true AS valid
+FROM g
+"""
