@@ -116,7 +116,7 @@ def running_artifacts(spark, sf):
     return B.drop_running(_clean(spark, sf, True)).select("doc_id", "pos", "page", "text")
 
 
-_EDGE = [(1, "7", 0.93), (2, "  12 ", 0.95), (3, "- 3 -", 0.05), (4, "xiv", 0.9), (5, "Page 4", 0.93), (6, "7", 0.5), (7, "mild", 0.9), (8, "chapter", 0.9), (9, "arXiv:2101.12345v2 [cs]", 0.3), (10, "Preprint, do not share", 0.5), (11, "preprints are fine", 0.5), (12, "Licensed under CC BY", 0.99)]
+_EDGE = [(1, "8", 0.94), (2, "  31 ", 0.96), (3, "- 5 -", 0.04), (4, "xix", 0.91), (5, "Page 12", 0.94), (6, "8", 0.5), (7, "vivid", 0.9), (8, "section", 0.9), (9, "arXiv:1907.00042v1 [math]", 0.3), (10, "Preprint of a draft", 0.5), (11, "preprints vary widely", 0.5), (12, "Licensed under CC BY-SA", 0.98)]
 
 
 @query(rf"""SELECT id, text FROM {_values(_EDGE, 'id, text, position')} WHERE NOT regexp_matches(text, '(?i)^\s*(arXiv:\s?\d{{4}}\.\d{{4,5}}|doi:\s?10\.\d{{4}}|https?://doi\.org/|preprint\b|under review\b|to appear in\b|licen[cs]ed under\b|this work is licen[cs]ed\b|permission to make digital\b)')
@@ -173,7 +173,7 @@ def kind_policy(spark, sf):
     return B.kind_policy(rows).select("doc_id", "pos", "text")
 
 
-_CITE = [(1, "as shown [1] and [2, 3]."), (2, "see [a] and [A] ."), (3, "a note [note 3], or [nb 4]"), (4, "power² and x³ ⁴"), (5, "[citation needed] stays"), (6, "plain (in brackets) text"), (7, "range [1–3] [4-5]")]
+_CITE = [(1, "seen twice [4] and again [5, 6]."), (2, "compare [b] with [B] ."), (3, "margin [note 7], then [nb 2]"), (4, "cubes³ and squares² ⁵"), (5, "[page needed] stays"), (6, "words (in round ones) stay"), (7, "spans [2–6] [7-9]")]
 
 
 @query(rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\s*\[\s*(?:\d+(?:\s*[,–-]\s*\d+)*|[a-z]|note\s*\d+|nb\s*\d+)\s*\]', '', 'g'), '[¹²³⁰-⁹]+', '', 'g'), '\s+([.,;:])', '\1', 'g')) AS text FROM {_values(_CITE, 'id, text')}""")
@@ -214,7 +214,7 @@ def spell_nodes(spark, sf):
     return rows.select("id", F.posexplode(T.spelled(F.col("text"))).alias("seq", "x")).select("id", "seq", "x.node", "x.text")
 
 
-_AUTHORS = [(1, "Jane Doe"), (2, "Authority control databases"), (3, "By the staff"), (4, None), (5, ""), (6, "One Two Three Four Five Six Seven"), (7, "News staff"), (8, "José García")]
+_AUTHORS = [(1, "Mira Olsen"), (2, "Authority control: rivers"), (3, "by Tom Reed"), (4, None), (5, ""), (6, "Ana Bel Cruz Dina Eck Fahr Gil"), (7, "Sports staff"), (8, "Zoë Núñez")]
 
 
 @query(f"SELECT id, coalesce(author <> '' AND {nwords('author')} <= 6 AND NOT regexp_matches(author, '(?i)authority control|wikipedia|contributors|editorial|editors of|staff writer|admin|newsroom|^by\\b|\\bstaff$|guest (author|writer)'), false) AS ok FROM {_values(_AUTHORS, 'id, author')}")
@@ -231,7 +231,7 @@ def list_announce(spark, sf):
     return S.to_nodes(rows)
 
 
-_HEAD = [(1, "The US budget", "Jane Doe"), (2, "Plain title.", "Wikipedia contributors"), (3, None, "Ann Lee"), (4, "", None)]
+_HEAD = [(1, "The US budget", "Jane Doe"), (2, "Plain title.", "Editorial board"), (3, None, "Ann Lee"), (4, "", None)]
 _HEAD_OUT = [
     (1, 0, "Say", "The", None), (1, 1, "Spell", "US", None), (1, 2, "Say", "budget.", None), (1, 3, "Pause", None, 1200), (1, 4, "Say", "By Jane Doe.", None), (1, 5, "Pause", None, 1200), (1, 6, "Say", "Body.", None),
     (2, 0, "Say", "Plain title.", None), (2, 1, "Pause", None, 1200), (2, 2, "Say", "Body.", None), (3, 0, "Say", "By Ann Lee.", None), (3, 1, "Pause", None, 1200), (3, 2, "Say", "Body.", None), (4, 0, "Say", "Body.", None),
@@ -340,7 +340,7 @@ def cache_misses(spark, sf):
     return S.misses(keyed, keyed.where("doc_id % 2 = 0"))
 
 
-_GUARD = [(1, 5 * 24000, 700, 1.0), (2, 44 * 24000, 700, 1.0), (3, 22 * 24000, 700, 2.0), (4, 100, 20, 1.0), (5, 0, 20, 1.0), (6, 24000, 60, 1.0)]
+_GUARD = [(1, 6 * 24000, 640, 1.0), (2, 40 * 24000, 640, 1.0), (3, 21 * 24000, 640, 2.0), (4, 90, 25, 1.0), (5, 0, 25, 1.0), (6, 24000, 61, 1.0)]
 
 
 @query(f"SELECT id, n > 0 AND (chars < 60 OR n / 24000.0::DOUBLE >= 0.55::DOUBLE * chars / (15.57::DOUBLE * speed)) AS ok FROM {_values(_GUARD, 'id, n, chars, speed')}")
@@ -407,9 +407,9 @@ def paywall_markers(spark, sf):
 
 
 _SUFFIX = [
-    (1, "Isambard Brunel - Wikipedia", "https://en.wikipedia.org/wiki/x", "Isambard Brunel"), (2, "PEP 8 | peps.python.org", "https://peps.python.org/pep-0008", "PEP 8"),
-    (3, "Her friend – and love of her life", "https://www.theguardian.com/x", "Her friend – and love of her life"), (4, "Best Restaurants - New York", "https://www.newyorker.com/x", "Best Restaurants - New York"),
-    (5, "No url - Wikipedia", None, "No url - Wikipedia"), (6, "Plain title", "https://a.org", "Plain title"), (7, "A - B :: example", "https://www.example.com", "A - B"),
+    (1, "Tidal mills of the north - Harbourlight", "https://www.harbourlight.org/mills", "Tidal mills of the north"), (2, "Release notes | docs.orchard.dev", "https://docs.orchard.dev/r/7", "Release notes"),
+    (3, "Rain – and all that followed", "https://www.harbourlight.org/rain", "Rain – and all that followed"), (4, "Night markets - Port", "https://www.portside.net/n", "Night markets - Port"),
+    (5, "No address - Harbourlight", None, "No address - Harbourlight"), (6, "One plain line", "https://a.org", "One plain line"), (7, "Salt - Pepper :: orchard", "https://www.orchard.dev", "Salt - Pepper"),
 ]
 
 
