@@ -103,6 +103,24 @@ def test_shards(spark, docs, empty):
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()  # a curve: neighbours touch
 
 
+def test_shard_files_are_skipped_by_their_bounds(spark, docs, empty, tmp_path):
+    plain = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    path, every = str(tmp_path / "full"), docs.collect()
+    sharding.write_shards(docs, path)
+    assert plain(sharding.read_shards(spark, path).collect()) == plain(every) and sharding.read_shards(spark, path).columns == docs.columns
+    n = [r["n_rows"] for r in spark.read.parquet(f"{path}/bounds").collect()]
+    assert len(n) == 16 and sum(n) == len(every) and max(n) - min(n) <= 2  # one row of the fixture comes twice
+    size = lambda r: len((r["text"] or "").encode()) + 1
+    for source, lang, least, most in [("s1", "en", 0, None), (None, "de", 0, 400), ("s2", None, 100, 300), ("s0", sharding.ANY, 0, 20), ("none such", "en", 0, None)]:
+        want = [r for r in every if r["source"] == source and (lang is sharding.ANY or r["lang"] == lang) and size(r) >= least and (most is None or size(r) <= most)]
+        assert plain(sharding.read_shards(spark, path, source, lang, least, most).collect()) == plain(want)
+        assert len(sharding.shards_for(spark, path, source, lang, least, most)) <= 8
+    plan = sharding.read_shards(spark, path, "s1", "en")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(__shard" in plan or "__shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    sharding.write_shards(empty, str(tmp_path / "none"))
+    assert sharding.read_shards(spark, str(tmp_path / "none"), "s1").count() == 0
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
