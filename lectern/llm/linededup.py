@@ -90,8 +90,14 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct("doc_id", "th", "s")
     firsts = found.groupBy(*key).agg(F.min(place).alias("origin"), F.count("*").alias("copies")).where("copies > 1").select(*key, "origin")
     later = found.join(firsts, key).where(place > F.col("origin"))
-    gone = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("s", "e")))))
-    return later.groupBy("doc_id", "th").agg(gone.alias("gone"))
+    # Overlapping runs become one stretch first, so a document's array never holds a line twice.
+    seq = Window.partitionBy("doc_id", "th").orderBy("s", "e")
+    reach = F.max("e").over(seq.rowsBetween(Window.unboundedPreceding, -1))
+    opens = later.select("doc_id", "th", "s", "e", F.when(F.col("s") <= reach, 0).otherwise(1).alias("opens"))
+    stretch = opens.withColumn("stretch", F.sum("opens").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = stretch.groupBy("doc_id", "th", "stretch").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    gone = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", "e"))), lambda x: F.sequence(x["s"], x["e"])))
+    return stretch.groupBy("doc_id", "th").agg(gone.alias("gone"))
 
 
 def delete_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -153,6 +153,14 @@ def test_line_dedup(docs, empty):
     assert any(gone.values()) and linededup.delete_lines(empty).count() == 0
 
 
+def test_line_dedup_of_many_overlapping_runs(spark):
+    lines = [f"w{i % 700} again" for i in range(20_000)]  # every run of 25 lines comes again 700 lines later
+    text = "\n".join(lines)
+    out = by_id(linededup.delete_lines(spark.createDataFrame([(1, text), (2, text), (3, "alone " * 60)], "doc_id long, text string")))
+    assert out[1]["__line_gone"] == list(range(700, 20_000)) and out[1]["text"] == "\n".join(lines[:700])
+    assert out[2]["__line_gone"] == list(range(20_000)) and out[2]["text"] == "" and out[3]["__line_gone"] is None
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i != 128 and i < 121), 0) for i in range(len(ROWS))] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     forest = quality.fit(docs, labels)
