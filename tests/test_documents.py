@@ -5,6 +5,7 @@ import random
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,37 @@ def test_the_newest_response_wins(spark):
     cache = rows.select("key", F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status"), F.lit("").alias("content_type"), "body", "fetched_at")
     got = landing.cached(asked, cache).collect()
     assert len(got) == 1 and bytes(got[0]["body"]) in (b"a", b"b")
+
+
+def test_long_documents_are_stitched_a_piece_at_a_time(spark):
+    import resource
+
+    def engine(text):  # 30 MB a piece
+        return O.wav(text.encode()[:2] * 15_000_000)
+
+    texts = spark.createDataFrame([(str(i), f"{i:02d}") for i in range(40)], "key string, text string").coalesce(1)
+    audio = O.synthesize(texts, engine, pack=True)
+    pieces = audio.select((F.col("key").cast("long") % 2).alias("doc_id"), F.col("key").cast("int").alias("chunk_idx"), "audio", F.lit(100).alias("pause_after_ms"))
+
+    def peak(batches):  # of the worker that made these rows
+        for b in batches:
+            yield b.append_column("mb", pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024] * b.num_rows, pa.int64()))
+
+    out = D.stitch(pieces, audio=False).mapInArrow(peak, "doc_id long, seconds double, mb long").collect()
+    assert {r["doc_id"]: r["seconds"] for r in out} == {d: pytest.approx(20 * (15_000_000 / O.RATE + 0.1)) for d in (0, 1)}
+    assert all(r["mb"] < 500 for r in out)
+
+
+def test_packed_pieces_give_the_same_wav(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, i, D.from_samples(rng.uniform(-1, 1, 500 + 100 * i)), 50 * i) for d in (1, 2, 3) for i in (2, 0, 1)]
+    assert all(O.unpacked(O.packed(r[2])) == r[2] == O.unpacked(r[2]) for r in rows)
+    kind = "doc_id long, chunk_idx int, audio binary, pause_after_ms int"
+    plain = D.stitch(spark.createDataFrame(rows, kind)).collect()
+    sent = D.stitch(spark.createDataFrame([(a, b, O.packed(c), p) for a, b, c, p in rows], kind)).collect()
+    assert sorted(plain) == sorted(sent) and len(plain) == 3
+    for r in plain:
+        with wave.open(io.BytesIO(bytes(r["audio"]))) as w:
+            assert r["seconds"] == w.getnframes() / O.RATE == (500 + 600 + 1200 + 700 + 2400) / O.RATE
+            frames = w.readframes(w.getnframes())
+        assert frames == b"".join(a[44:] + b"\0\0" * (24 * p) for _, _, a, p in sorted(x for x in rows if x[0] == r["doc_id"]))
