@@ -88,9 +88,14 @@ def fetch(missing: DataFrame, get: Callable[[str, bool], tuple[str, int, str, by
 
 
 def to_cache(responses: DataFrame, fetched_at: Column) -> DataFrame:
-    """Cache rows of usable responses, to be appended: key, final_url, status, content_type, body, fetched_at."""
-    good = responses.where("body is not null and status between 200 and 299")
-    return good.select(url_key(F.col("url")).alias("key"), "final_url", "status", "content_type", "body", fetched_at.alias("fetched_at")).dropDuplicates(["key"])
+    """Cache rows of usable responses, to be appended: key, final_url, status, content_type, body, fetched_at.
+
+    Of the responses of one key the newest is kept, of equal times that of the greatest digest of the body, as ``cached`` chooses.
+    """
+    names = ("final_url", "status", "content_type")
+    good = responses.where("body is not null and status between 200 and 299").select(url_key(F.col("url")).alias("key"), *names, "body", fetched_at.alias("fetched_at"))
+    mark = F.struct("fetched_at", F.sha2("body", 256), *names)
+    return good.groupBy("key").agg(F.max_by(F.struct(*names, "body", "fetched_at"), mark).alias("r")).select("key", "r.*")
 
 
 def thin_articles(pages: DataFrame, blocks: DataFrame, least: int = THIN_WORDS) -> DataFrame:

@@ -1,5 +1,6 @@
 """Rules against plain-Python twins and literal cases; queries against their SQL is the driver's part."""
 
+import hashlib
 import random
 import re
 
@@ -12,7 +13,7 @@ from lectern.operators import blocks as B
 from lectern.operators import output as O
 from lectern.operators import speech as S
 from lectern.plans.queries import QUERIES
-from lectern.sources import pdf, web
+from lectern.sources import landing, pdf, web
 from lectern.streaming import ingest
 
 BLOCK = "doc_id long, pos int, kind string, text string, level int, ordinal int, page int, position double"
@@ -174,3 +175,13 @@ def test_named_references_need_their_semicolon():
     title, rows = web.parse_blocks("<title>a &amp b</title><h1>x&&&amp</h1><p>&lt;i&gt; &ampfoo; &notin; &AMP &#65; &#x42; &copy &eacute;&nosuch;</p><pre>a &lt b &amp; c</pre>")
     assert title == "a &amp b"
     assert rows == [("heading", "x&&&amp", 1, None), ("paragraph", "<i> &ampfoo; ∉ &AMP A B &copy é&nosuch;", 0, None), ("code", "a &lt b & c", 0, None)]
+
+
+def test_one_response_a_key(spark):
+    rows = [("u", "f", 200, "text/html", b, t) for b, t in ((b"a", 1), (b"b", 2), (b"c", 2), (b"d", 2), (b"e", 1))] + [("u", "f", 500, "text/html", b"x", 9), ("u", "f", 200, "text/html", None, 9), ("v", None, 200, None, b"a", 0)]
+    best = max((b"b", b"c", b"d"), key=lambda b: hashlib.sha256(b).hexdigest())
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, "url string, final_url string, status int, content_type string, body binary, t long").repartition(3, "body")
+        out = landing.to_cache(df, F.col("t"))
+        assert out.columns == ["key", "final_url", "status", "content_type", "body", "fetched_at"]
+        assert sorted((bytes(r["body"]), r["fetched_at"]) for r in out.collect()) == sorted([(best, 2), (b"a", 0)])
