@@ -171,6 +171,17 @@ def test_expand_blocks_takes_every_block(spark, tmp_path):
     assert sorted(got) == sorted((r["doc_id"], r["pos"], _expanded(r["text"])) for r in clean) and len(got) == 66
 
 
+def test_expand_documents_knows_ascii_addresses(spark, tmp_path):
+    lines = ["Chü.iooga éanrequeç.ioale erüwort.comcns", "wrote éa.b@c.org or see a.b@c.org", "at www.münchen.de/ü end", "plain site.org here"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["pos"]: r["text"] for r in QUERIES["expand_documents"](spark, str(tmp_path)).collect()}
+    # As RE2 reads the SQL's patterns, and Python with its flag for ASCII.
+    assert [got[i] for i in range(4)] == [re.sub(V.URL, "link", re.sub(V.EMAIL, "", x, flags=re.A), flags=re.A).replace("  ", " ").strip() for x in lines]
+    assert got[0] == "Chü.iooga éanrequeç.ioale erülinkcns" and got[1] == "wrote é or see"
+    rows = S.expand(spark.createDataFrame([(1, lines[0])], "id long, text string"))
+    assert rows.collect()[0]["text"] == "linkoga linkale linkcns"
+
+
 def test_named_references_need_their_semicolon():
     title, rows = web.parse_blocks("<title>a &amp b</title><h1>x&&&amp</h1><p>&lt;i&gt; &ampfoo; &notin; &AMP &#65; &#x42; &copy &eacute;&nosuch;</p><pre>a &lt b &amp; c</pre>")
     assert title == "a &amp b"
