@@ -196,3 +196,16 @@ def test_one_response_a_key(spark):
         out = landing.to_cache(df, F.col("t"))
         assert out.columns == ["key", "final_url", "status", "content_type", "body", "fetched_at"]
         assert sorted((bytes(r["body"]), r["fetched_at"]) for r in out.collect()) == sorted([(best, 2), (b"a", 0)])
+
+
+def test_searches_ahead_lose_nothing(spark):
+    rng = random.Random(4)
+    bits = "et al.|e.g.|e. g.|E.G.,|i.e.|I. e.|etc.|cf.|vs.|v.|approx.|Fig. 3|Figs.4|No. 5|Nos.6|pp. 7|p. 8|80%|5 %|&|§ 4|20 °|±|≈|×|2 – 3|é|x|9|.|v2.5|14:05|3-5|a.pdf|www.a.b/c|WWW.x|https://q|a.com|x.ORG/y|m@x.org|{a,b}@c.de".split("|")
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    plain, mailed = F.col("x"), T.re_sub(F.col("x"), T.U + V.EMAIL, "")
+    for p, to in V.EXPANSIONS:
+        plain = T.re_sub(plain, T.U + p, to)
+    held = " or ".join(f"regexp_like(x, r'{T.U + p}')" for p in V.PROTECTED)
+    got = rows.select(plain.alias("a"), T.expansions(F.col("x")).alias("b"), T.re_sub(mailed, T.U + V.URL, "link").alias("c"), T.links(F.col("x")).alias("d"), (F.expr(held) & ~F.col("x").rlike(T.U + V.MAY_PROTECT)).alias("e")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] and not r["e"] for r in got)
