@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (little-endian unsigned 32-bit)."""
-    return bpe.encode(docs).drop("decoded")
+    return bpe.encode(docs, with_decoded=False)
 
 
 STAGES = [

@@ -22,6 +22,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -39,7 +40,9 @@ from lectern.llm.common import portions, table, trim
 WINDOW, MASK = 8, np.uint32(63)
 SHARED = 16_384
 SHARED_BYTES = 6 << 20
-MEMORY_BYTES = 24 << 20
+MEMORY_BYTES = 8 << 20
+#: Bytes of text whose ids and decoded texts are held at a time.
+PORTION = 1 << 20
 _SPACES = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([i])).digest()[:4] for i in range(256)), np.uint32)
 #: Fixed value: the piece pattern of byte-level BPE vocabularies of this family.
@@ -111,6 +114,9 @@ class Codec:
         self.fast = tiktoken.Encoding("plain", pat_str=PLAIN_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memory: dict[int, tuple[bytes, bytes]] = {}
         self.held = 0
+        del vocab, ranks
+        gc.collect()
+        trim()  # what reading the vocabulary took is several times what stays
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -165,6 +171,7 @@ def _count_chunks(batches):
                 row = seen.setdefault(_signed(xxhash.xxh3_64_intdigest(c)), [0, len(c)])
                 row[0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array([r[0] for r in seen.values()], pa.int64()), pa.array([r[1] for r in seen.values()], pa.int64())], ["h", "times", "size"])
+    trim()
 
 
 def shared_chunks(docs: DataFrame, path: str, limit: int = SHARED) -> dict[int, tuple[bytes, bytes]]:
@@ -191,37 +198,40 @@ def shared_chunks(docs: DataFrame, path: str, limit: int = SHARED) -> dict[int,
                         given.add(h)
                         out.append((h, c))
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], ["h", "chunk"])
+        trim()
 
     def encode(batches):
         for b in batches:
             done = codec(path).encode(b["chunk"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["h"], pa.array([i for i, _ in done], pa.binary()), pa.array([d for _, d in done], pa.binary())], ["h", "ids", "decoded"])
+        trim()
 
     once = texts.mapInArrow(fetch, "h long, chunk binary").groupBy("h").agg(F.first("chunk").alias("chunk"))
     rows = once.mapInArrow(encode, "h long, ids binary, decoded binary").collect()
     return {r["h"] % (1 << 64): (bytes(r["ids"]), bytes(r["decoded"])) for r in rows}
 
 
-def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (little-endian unsigned 32-bit) and decoded text."""
+def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, with_decoded: bool | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (little-endian unsigned 32-bit) and decoded text (unless told, where ids are)."""
+    with_decoded = with_ids if with_decoded is None else with_decoded
     path = path or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path))
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_decoded
 
     def run(batches):
         c = codec(path)
-        for b, texts in portions(batches):
+        for b, texts in portions(batches, PORTION):
             done = []
             for ids, decoded in c.documents(texts, shared.value):
                 text = decoded.decode("utf-8", "replace")
-                done.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) + ((ids, text) if with_ids else ()))
+                done.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) + ((ids,) if with_ids else ()) + ((text,) if with_decoded else ()))
             cols = list(zip(*done, strict=True)) if done else [()] * (len(names) - 1)
-            types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+            types = [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_ids + [pa.string()] * with_decoded
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, t) for x, t in zip(cols, types))], names)
         c.memory, c.held = {}, 0
         trim()
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids + ", decoded string" * with_decoded
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import cut, n_words, table, unit_interval
+from lectern.llm.common import cut, local_table, n_words, table, unit_interval
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -97,7 +97,7 @@ def _plan(docs: DataFrame, weight=None) -> tuple[DataFrame, DataFrame, int, bool
     sizes = [(r["source"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     goal = targets(sizes)
     rows = [(s, n, float(goal[s]), int(goal[s] // n) if n else 0) for s, n in sizes]
-    sources = spark.createDataFrame(rows, "source string, source_size long, target double, epochs int")
+    sources = local_table(spark, rows, "source string, source_size long, target double, epochs int")
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,10 +117,10 @@ def _plan(docs: DataFrame, weight=None) -> tuple[DataFrame, DataFrame, int, bool
     last = inside.groupBy("src").agg(F.max(F.struct("mix_key", "cum")).alias("x")).select("src", "x.mix_key", "x.cum").collect()
     cuts = {r["src"]: (r["mix_key"], r["cum"]) for r in last}
     # Rows that share the cut-off key go in by number: as many as lie up to the cut.
-    at = spark.createDataFrame([(s, *cuts.get(s, (None, None))) for s, *_ in rows], "s string, k double, c long")
+    at = local_table(spark, [(s, *cuts.get(s, (None, None))) for s, *_ in rows], "s string, k double, c long")
     ties = placed.join(small(at, len(rows)), F.col("src").eqNullSafe(F.col("s")) & (F.col("mix_key") == F.col("k")))
     tied = {r["src"]: (r["n"], r["of"]) for r in ties.groupBy("src").agg(F.sum((F.col("cum") <= F.col("c")).cast("int")).alias("n"), F.count("*").alias("of")).collect()}
-    out = spark.createDataFrame([(*r, cuts.get(r[0], (None,))[0], tied.get(r[0], (0,))[0]) for r in rows], "source string, source_size long, target double, epochs int, cutoff double, tied long")
+    out = local_table(spark, [(*r, cuts.get(r[0], (None,))[0], tied.get(r[0], (0,))[0]) for r in rows], "source string, source_size long, target double, epochs int, cutoff double, tied long")
     return narrow, out, len(rows), any(n < of for n, of in tied.values())
 
 

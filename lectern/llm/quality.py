@@ -21,12 +21,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix64, table
+from lectern.llm.common import mix64, portions, table, trim
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 64
@@ -171,6 +170,7 @@ def _stats(batches):
     for b in batches:
         feats = [statistics(t.as_py() or b"")[1] for t in b["text"].cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array(feats, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+    trim()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest | None:
@@ -219,10 +219,12 @@ def keep_good(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """The documents that pass, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("boolean")
-    def passes(text: pd.Series) -> pd.Series:
-        texts = (None if t is None else t.encode() for t in text)
-        return pd.Series(_verdicts(texts, model.value)[2]) if len(text) else pd.Series([], dtype=bool)
+    @F.arrow_udf("boolean")
+    def passes(text: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([text], ["text"])
+        kept = [_verdicts(texts, model.value)[2] for _, texts in portions([rows])]
+        trim()
+        return pa.array(np.concatenate(kept) if kept else [], pa.bool_())
 
     return docs.where(passes(F.col("text")))
 

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -190,3 +193,14 @@ def test_empty_tables(spark, tmp_path):
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_the_memory_of_their_workers_small(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = corpus_pipeline.bpe_tokens(spark, docs, folder)._jdf.queryExecution().analyzed().toString()
+    assert "ids_sha256" in plan and not re.search(r"\bdecoded#", plan)  # texts don't travel back
+    tables = mixing._plan(docs)[1]
+    assert "RDD" not in tables._jdf.queryExecution().analyzed().toString()  # no second kind of Python workers
+    assert {r["source"] for r in tables.collect()} == {"s1", "s2", None}
+    code = "import sys, corpus_pipeline; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(corpus_pipeline.__file__)).returncode == 0
