@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import portions, table, trim
+from lectern.llm.common import portions, small_batches, table, trim
 
 WINDOW, MASK = 8, np.uint32(63)
 SHARED = 16_384
@@ -43,6 +43,8 @@ SHARED_BYTES = 6 << 20
 MEMORY_BYTES = 8 << 20
 #: Bytes of text whose ids and decoded texts are held at a time.
 PORTION = 1 << 20
+#: Rows an Arrow batch; Spark's 10,000 whole texts are tens of MB a task, in the JVM and again in its Python worker.
+BATCH_ROWS = 1024
 _SPACES = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([i])).digest()[:4] for i in range(256)), np.uint32)
 #: Fixed value: the piece pattern of byte-level BPE vocabularies of this family.
@@ -159,6 +161,13 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def release() -> None:
+    """Forget the vocabulary and what was encoded at the end of a task: all workers of the pool take turns, so each would hold them while idle."""
+    _CODECS.clear()
+    gc.collect()
+    trim()
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -204,7 +213,7 @@ def shared_chunks(docs: DataFrame, path: str, limit: int = SHARED) -> dict[int,
         for b in batches:
             done = codec(path).encode(b["chunk"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["h"], pa.array([i for i, _ in done], pa.binary()), pa.array([d for _, d in done], pa.binary())], ["h", "ids", "decoded"])
-        trim()
+        release()
 
     once = texts.mapInArrow(fetch, "h long, chunk binary").groupBy("h").agg(F.first("chunk").alias("chunk"))
     rows = once.mapInArrow(encode, "h long, ids binary, decoded binary").collect()
@@ -215,6 +224,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, with
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (little-endian unsigned 32-bit) and decoded text (unless told, where ids are)."""
     with_decoded = with_ids if with_decoded is None else with_decoded
     path = path or default_vocabulary()
+    small_batches(docs.sparkSession, BATCH_ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_decoded
 
@@ -228,8 +238,8 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, with
             cols = list(zip(*done, strict=True)) if done else [()] * (len(names) - 1)
             types = [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_ids + [pa.string()] * with_decoded
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, t) for x, t in zip(cols, types))], names)
-        c.memory, c.held = {}, 0
-        trim()
+        del c
+        release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids + ", decoded string" * with_decoded
     return docs.select("doc_id", "text").mapInArrow(run, schema)

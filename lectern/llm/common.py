@@ -90,6 +90,13 @@ def portions(batches, size: int = 4 << 20):
             yield b.slice(start), [x.as_py() or b"" for x in texts.slice(start)]
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Lower the session's rows per Arrow batch to ``rows``, for good: a plan reads the setting when it runs.  It never changes results."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def trim() -> None:
     """Give memory back at the end of a task: idle workers are kept for the next one."""
     pa.default_memory_pool().release_unused()

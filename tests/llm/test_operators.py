@@ -9,6 +9,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,17 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_idle_workers_hold_no_vocabulary(spark, docs):
+    bpe.encode(docs).collect()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._CODECS)], pa.int64())], ["n"])
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= bpe.BATCH_ROWS
+
+
 def test_line_dedup(docs, empty):
     order = sorted(TEXT)
     seq = {d: [(j, x, len(WORD.findall(x))) for j, x in enumerate(TEXT[d].split("\n")) if WORD.search(x)] for d in order}
